@@ -34,14 +34,14 @@ def _q(s: str) -> str:
 
 
 SPACE_SET = _q(" \t\n\x0b\x0c\r")
-#: Of a line l: characters that are not blank; blanks; the rules.
-_CHARS = f"length(translate(l, {_q(BLANKS)}, ''))"
-_BLANKS = f"length(l) - {_CHARS}"
+#: Of a line x.l with x.n characters that aren't blank: the rules. Cheap tests come first.
+_BLANKS = "length(x.l) - x.n"
+_SEPARATED = f"length(x.l) - length(translate(x.l, {_q(SEPARATORS)}, ''))"
 _RULES = {
-    "punctuation": f"(instr({_q(ENDS)}, right(rtrim({_q(BLANKS)}, l), 1)) = 0 and {_BLANKS} < 3) or 5 * length(regexp_replace(l, '[\\\\p{{L}}\\\\p{{M}}\\\\p{{N}}\\\\x20\\\\x09-\\\\x0D]+', '')) > {_CHARS}",
-    "navigation": f"length(l) - length(translate(l, {_q(SEPARATORS)}, '')) >= 3 and 6 * (length(l) - length(translate(l, {_q(SEPARATORS)}, ''))) > {_BLANKS}",
-    "shouting": f"{_BLANKS} >= 4 and 2 * length(regexp_replace(l, '[^\\\\p{{Lu}}]+', '')) > {_CHARS}",
-    "boilerplate": f"{_BLANKS} < 20 and regexp_like(lower(l), '{BOILERPLATE}')",
+    "punctuation": f"(instr({_q(ENDS)}, right(rtrim({_q(BLANKS)}, x.l), 1)) = 0 and {_BLANKS} < 3) or 5 * length(regexp_replace(x.l, '[A-Za-z0-9\\\\x20\\\\x09-\\\\x0D\\\\x{{80}}-\\\\x{{10FFFF}}]+', '')) > x.n",
+    "navigation": f"regexp_like(x.l, '[{SEPARATORS}][^{SEPARATORS}]*[{SEPARATORS}][^{SEPARATORS}]*[{SEPARATORS}]') and 6 * ({_SEPARATED}) > {_BLANKS}",
+    "shouting": f"{_BLANKS} >= 4 and regexp_like(x.l, '\\\\p{{Lu}}[\\\\x20\\\\x09-\\\\x0D]*\\\\p{{Lu}}') and 2 * length(regexp_replace(x.l, '[^\\\\p{{Lu}}]+', '')) > x.n",
+    "boilerplate": f"{_BLANKS} < 20 and regexp_like(lower(x.l), '{BOILERPLATE}')",
 }
 
 
@@ -67,21 +67,25 @@ def _measured(docs: DataFrame) -> DataFrame:
         F.expr(f"cast(length(__t) - length(translate(__t, {_q(SYMBOLS)}, '')) as long)").alias("n_symbols"),
         F.expr("cast(size(__l) - size(array_distinct(__l)) as long)").alias("n_dup_lines"),
         F.expr(f"cast({repeated} as long)").alias("n_repeat_words"),
-        F.expr(f"aggregate(filter(__l, l -> not ({fails})), 0L, (a, l) -> a + {_CHARS})").alias("kept_chars"),
+        F.expr(f"aggregate(filter(transform(__l, l -> struct(l as l, length(translate(l, {_q(BLANKS)}, '')) as n)), x -> not ({fails})), 0L, (a, x) -> a + x.n)").alias("kept_chars"),
     )
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with the base measures, kept_chars (non-blank characters of lines that pass), base_failed, kept."""
-    rows = _measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text")
+def _verdict(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"))
     return rows.withColumn("kept", F.expr("not base_failed and 2 * kept_chars >= word_chars"))
 
 
+def score(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with the base measures, kept_chars (non-blank characters of lines that pass), base_failed, kept."""
+    return _verdict(_measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text"))
+
+
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, whole and with their own columns."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)), F.col("text"))
-    rows = _measured(plain)
-    rows = rows.where(f"not (n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) and 2 * kept_chars >= word_chars")
+    rows = _verdict(_measured(plain))
+    # A filter would be pushed below the measures and repeat them inside itself; an empty array drops a row without that.
+    rows = rows.select(*names, F.explode(F.when(F.col("kept"), F.array(F.lit(1)))).alias("__one"))
     return rows.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names)))

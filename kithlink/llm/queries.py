@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithlink.llm import edit_counts, exact_dedup, line_dedup, packing, piece, quality_rules, token_store
+from kithlink.llm import edit_counts, exact_dedup, html_extraction, line_dedup, packing, piece, quality_rules, simhash, token_store, toxicity
 from kithlink.llm.common import documents, scratch
 
 QUERIES: dict = {}
@@ -37,6 +37,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_groups(documents(spark, sf_dir))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-store")
@@ -44,11 +50,21 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, path)
 
 
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), toxicity.train_labels(spark, sf_dir))
+
+
 @query
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups_of_copies(documents(spark, sf_dir), carry={"text_sha256": F.sha2("t", 256)})
 
 
+@query
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 @query
 def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts.edit_counts(documents(spark, sf_dir), derive=edit_counts.cleaning_edits)
@@ -89,7 +105,7 @@ m as (
          cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines, cast(coalesce(n, 0) as bigint) as n_repeat_words,
          cast(coalesce(list_sum(list_transform(list_filter(ls, lambda l: not (
            (position(right(rtrim(l, {_BLANKS}), 1) in '{_ENDS}') = 0 and {_NBLANK} < 3)
-           or 5 * length(regexp_replace(l, '[\\p{{L}}\\p{{M}}\\p{{N}}\\x20\\x09-\\x0D]+', '', 'g')) > {_NONBLANK}
+           or 5 * length(regexp_replace(l, '[A-Za-z0-9\\x20\\x09-\\x0D\\x{{80}}-\\x{{10FFFF}}]+', '', 'g')) > {_NONBLANK}
            or ({_SEP} >= 3 and 6 * {_SEP} > {_NBLANK})
            or ({_NBLANK} >= 4 and 2 * length(regexp_replace(l, '[^\\p{{Lu}}]+', '', 'g')) > {_NONBLANK})
            or ({_NBLANK} < 20 and regexp_matches(lower(l), '{quality_rules.BOILERPLATE}')))), lambda l: {_NONBLANK})), 0) as bigint) as kept_chars
