@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from kithlink.config import FEATURE_COLS, Config
 from kithlink.operators import evaluation as E
 from kithlink.operators.blocking import PAIR
+from kithlink.sources.stage import stage
 
 
 @dataclass
@@ -52,7 +53,7 @@ def _probability(model: GBTClassificationModel, rows: DataFrame, name: str) -> D
 def train_matcher(features: DataFrame, truth: DataFrame, cfg: Config) -> tuple[Matcher, DataFrame]:
     """The matcher, and out-of-fold calibrated scores (PAIR, fold, is_match, raw, score)."""
     rows = assemble(E.weighted(E.labelled(features, truth), cfg)).withColumn("fold", E.fold(cfg))
-    rows = rows.select(*PAIR, "features", "is_match", "weight", "fold").persist()
+    rows = stage(rows.select(*PAIR, "features", "is_match", "weight", "fold"), "training").persist()
     models, oof = [], None
     for i in range(cfg.n_folds):
         gbt = GBTClassifier(labelCol="is_match", weightCol="weight", maxIter=cfg.trees, stepSize=cfg.learning_rate, maxDepth=cfg.max_depth, minInstancesPerNode=cfg.min_child, seed=cfg.seed, checkpointInterval=10)
@@ -60,7 +61,7 @@ def train_matcher(features: DataFrame, truth: DataFrame, cfg: Config) -> tuple[M
         models.append(m)
         part = _probability(m, rows.where(F.col("fold") == i), "raw")
         oof = part if oof is None else oof.unionByName(part)
-    oof = oof.select(*PAIR, "fold", "is_match", "raw").persist()
+    oof = stage(oof.select(*PAIR, "fold", "is_match", "raw"), "oof")
     calibrator = IsotonicRegression(featuresCol="raw", labelCol="is_match", predictionCol="score").fit(oof)
     scored = calibrator.transform(oof)
     threshold = E.best_threshold(E.threshold_sweep(scored, truth, features.select(PAIR[0]), cfg)).first()["threshold"]

@@ -21,6 +21,7 @@ from kithlink.operators.normalise import normalise
 from kithlink.plans.oracles import ORACLES  # noqa: F401
 from kithlink.sources import sinks
 from kithlink.sources.adapter import entities, truth_pairs
+from kithlink.sources.stage import stage
 
 QUERIES: dict = {}
 Q1, CAND = B.PAIR
@@ -33,7 +34,7 @@ def query(f):
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Normalised entities; query side; catalogue."""
-    n = normalise(entities(spark, sf_dir)).persist()  # met by every strategy on both sides; the file pipeline stores it
+    n = stage(normalise(entities(spark, sf_dir)), "entities")  # met by every strategy on both sides
     return n, n.where("src = 1"), n.where("src <> 1")
 
 
@@ -44,7 +45,7 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     n, s1, cat = _sides(spark, sf_dir)
-    return B.run_blocking(s1, n.where("src = 2"), n.where("src = 3"), FIXTURE).persist(), s1, cat
+    return stage(B.run_blocking(s1, n.where("src = 2"), n.where("src = 3"), FIXTURE), "candidates"), s1, cat
 
 
 def _r(*names: str, digits: int = 4):
@@ -259,6 +260,6 @@ def match_predict(spark, sf_dir):
     """Features, grouped folds of boosted trees, calibration, threshold, matches. Few trees, as the table is small."""
     c, s1, cat = _candidates(spark, sf_dir)
     cfg = replace(FIXTURE, trees=5, learning_rate=0.3, max_depth=4, n_folds=2)
-    f = X.compute_features(c, s1, cat, cfg).persist()
+    f = stage(X.compute_features(c, s1, cat, cfg), "features")
     matcher, _ = M.train_matcher(f, _truth(spark, sf_dir), cfg)
     return M.predict(f, matcher).select(Q1, CAND, *_r("score"))
