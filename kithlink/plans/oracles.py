@@ -77,7 +77,7 @@ cand as (select s, d, name_sim, addr_sim, token_jaccard, addr_anchor, blend, cas
 
 CAND = ", ".join([BLOCKS, ANCHOR, TOKEN, _tfidf("nm", "name_norm", C.sim_floor, C.top_k), PRUNE])
 TRUTH = "tr as (select distinct q.entity_id as s, c.entity_id as d from ent q join ent c on q.src = 1 and c.src <> 1 and q.h = c.h)"
-PRED = "pr as (select s, d from cand where round(blend, 4) >= 0.8)"
+PRED = "pr as (select s, d from cand where blend >= 0.8)"
 SCORE = """ids as (select s from pr union select s from tr union select entity_id as s from norm where src = 1 and {all}),
 es as (select s, (select count(*) from pr where pr.s = ids.s) as np, (select count(*) from tr where tr.s = ids.s) as nt,
        (select count(*) from pr join tr using (s, d) where pr.s = ids.s) as hits from ids)"""
@@ -98,8 +98,14 @@ def _same(a: str, b: str, op: str = "=") -> str:
     return f"cast({a} <> '' and {b} <> '' and {a} {op} {b} as bigint)"
 
 
+#: DuckDB counts bytes: accented letters of the tables' languages go to control characters, one each, which changes no distance.
+_ACCENTED = "àâäáãçéèêëíìîïñóòôöõúùûüßœæ"
+_CONTROL = " || ".join(f"chr({i})" for i in [*range(1, 9), *range(14, 32), 127][: len(_ACCENTED)])
+
+
 def _lev(a: str, b: str) -> str:
-    return f"round(case when greatest(length({a}), length({b})) = 0 then 1.0 else 1 - levenshtein({a}, {b}) / greatest(length({a}), length({b})) end, 4)"
+    x, y = (f"translate({c}, '{_ACCENTED}', {_CONTROL})" for c in (a, b))
+    return f"round(case when greatest(length({a}), length({b})) = 0 then 1.0 else 1 - levenshtein({x}, {y}) / greatest(length({a}), length({b})) end, 4)"
 
 
 def _jw(a: str, b: str) -> str:
@@ -125,9 +131,9 @@ ORACLES: dict[str, str] = {
     "block_token": f"with {BLOCKS}, {TOKEN} select {PAIR}, shared, round(j, 4) as token_jaccard from tok2",
     "fallback_block": f"with {BLOCKS}, bb as (select * from b where bk = '*'), {TOKEN.replace('from b)', 'from bb)')} select {PAIR}, shared, round(j, 4) as token_jaccard from tok2",
     "idf_vocab": f"with {BLOCKS}, {_tfidf('nm', 'name_norm', C.sim_floor, C.top_k)} select bk as block_key, t as term, df, n from nmv",
-    "block_tfidf": f"with {BLOCKS}, {_tfidf('nm', 'name_norm', C.sim_floor, C.top_k)} select {PAIR}, round(sim, 4) as name_sim from nm",
-    "block_tfidf_address": f"with {BLOCKS}, {_tfidf('am', 'addr_norm', 0.5, 5)} select {PAIR}, round(sim, 4) as addr_sim from am",
-    "blocked_candidates": f"with {CAND} select {PAIR}, round(name_sim, 4) as name_sim, round(addr_sim, 4) as addr_sim, round(token_jaccard, 4) as token_jaccard, round(addr_anchor, 4) as addr_anchor, round(blend, 4) as blend_score, name_rank, addr_rank, cc as candidate_count from cand",
+    "block_tfidf": f"with {BLOCKS}, {_tfidf('nm', 'name_norm', C.sim_floor, C.top_k)} select {PAIR}, round(sim, 6) as name_sim from nm",
+    "block_tfidf_address": f"with {BLOCKS}, {_tfidf('am', 'addr_norm', 0.5, 5)} select {PAIR}, round(sim, 6) as addr_sim from am",
+    "blocked_candidates": f"with {CAND} select {PAIR}, round(name_sim, 6) as name_sim, round(addr_sim, 4) as addr_sim, round(token_jaccard, 4) as token_jaccard, round(addr_anchor, 4) as addr_anchor, round(blend, 6) as blend_score, name_rank, addr_rank, cc as candidate_count from cand",
     "candidate_pairs": f"with {CAND} " + _list("cand", "candidate_entity_ids"),
     "matching_results": f"with {CAND}, {PRED} " + _list("pr", "matched_entity_ids"),
     "run_statistics": f"with {CAND}, {PRED} select count(x.s) as n_matched, count(*) - count(x.s) as n_singleton from (select entity_id as s from norm where src = 1) n left join (select distinct s from pr) x using (s)",
@@ -141,8 +147,8 @@ ORACLES: dict[str, str] = {
     "features_jw": f"with {CAND}, {ATTR}, s2 as (select s, d, {_jw('an', 'bn')} as nj, {_jw('ad', 'bd')} as aj from pa where regexp_full_match(an || bn || ad || bd, '[\\x00-\\x7F]*')) "
     f"select {PAIR}, round(nj, 4) as name_jw, round(aj, 4) as addr_jw, cast(nj >= {C.mismatch_name} and aj < {C.mismatch_addr} as bigint) as name_match_addr_mismatch from s2",
     "feature_addr_cosine": f"with {CAND}, {ATTR}, {ADDR} select {PAIR}, round(coalesce(v, 0.0), 4) as addr_tfidf_cos from pa left join dot using (ad, bd)",
-    "reciprocal_nn": f"with {CAND} select {PAIR}, cast(row_number() over (partition by d order by round(blend, 4) desc, s) = 1 as bigint) as is_reciprocal_nn from cand",
-    "labels_weights": f"with {CAND}, {TRUTH}, lb as (select c.*, cast(tr.s is not null as bigint) as y, round(name_sim, 4) > 0.9 and addr_anchor = 0 as hard from cand c left join tr using (s, d)), "
+    "reciprocal_nn": f"with {CAND} select {PAIR}, cast(row_number() over (partition by d order by blend desc, s) = 1 as bigint) as is_reciprocal_nn from cand",
+    "labels_weights": f"with {CAND}, {TRUTH}, lb as (select c.*, cast(tr.s is not null as bigint) as y, name_sim > 0.9 and addr_anchor = 0 as hard from cand c left join tr using (s, d)), "
     f"rt as (select sum(1 - y) / greatest(sum(y), 1) as r from lb) select {PAIR}, y as is_match, round(case when y = 1 then r when hard then {C.hard_neg_weight} else 1.0 end, 4)::double as weight, cast(substr(s, 2) as bigint) % {C.n_folds} as fold from lb, rt",
     "blocking_recall": f"with {CAND}, {TRUTH}, f as (select count(c.s) as n_found, count(*) as n_true from tr left join cand c using (s, d)) select n_found, n_true, round(case when n_true = 0 then 1.0 else n_found / n_true end, 4)::double as recall from f",
     "reduction_ratio": f"with {CAND}, f as (select (select count(*) from cand) as n_candidates, (select count(*) from norm where src = 1) as n_s1, (select count(*) from norm where src <> 1) as n_catalogue) "
@@ -150,8 +156,8 @@ ORACLES: dict[str, str] = {
     "entity_f05": f"with {CAND}, {TRUTH}, {PRED}, {SCORE.format(all='true')} select s as source1_entity_id, np as n_pred, nt as n_true, hits, round({F05}, 4)::double as f_half from es",
     "macro_f05": f"with {CAND}, {TRUTH}, {PRED}, {SCORE.format(all='false')} select round(coalesce(avg({F05}), 0.0), 4)::double as macro_f_half from es",
     "threshold_sweep": f"with {CAND}, {TRUTH}, g as (select i, i / 100 as t from (select unnest(range({C.threshold_low}, {C.threshold_high})) as i)), "
-    "ids as (select entity_id as s from norm where src = 1), np as (select t, s, count(*) as np from cand, g where round(blend, 4) >= t group by t, s), "
-    "hh as (select t, s, count(*) as hits from cand join tr using (s, d), g where round(blend, 4) >= t group by t, s), nt as (select s, count(*) as nt from tr group by s), "
+    "ids as (select entity_id as s from norm where src = 1), np as (select t, s, count(*) as np from cand, g where blend >= t group by t, s), "
+    "hh as (select t, s, count(*) as hits from cand join tr using (s, d), g where blend >= t group by t, s), nt as (select s, count(*) as nt from tr group by s), "
     "es as (select t, s, coalesce(np, 0) as np, coalesce(nt, 0) as nt, coalesce(hits, 0) as hits from ids cross join g left join np using (t, s) left join hh using (t, s) left join nt using (s)) "
     f"select round(t, 2)::double as threshold, round(avg({F05}), 4)::double as macro_f_half from es group by t",
     "ground_truth_lists": f"with {NORM}, {TRUTH} select entity_id as source1_entity_id, (select count(*) from tr where tr.s = norm.entity_id) as n from norm where src = 1",

@@ -97,12 +97,12 @@ def idf_vocab(spark, sf_dir):
 
 @query
 def block_tfidf(spark, sf_dir):
-    return B.tfidf_pairs(_blocks(spark, sf_dir), "name_norm", "name_sim", FIXTURE).select(Q1, CAND, *_r("name_sim"))
+    return B.tfidf_pairs(_blocks(spark, sf_dir), "name_norm", "name_sim", FIXTURE).select(Q1, CAND, *_r("name_sim", digits=6))
 
 
 @query
 def block_tfidf_address(spark, sf_dir):
-    return B.tfidf_pairs(_blocks(spark, sf_dir), "addr_norm", "addr_sim", replace(FIXTURE, sim_floor=0.5, top_k=5)).select(Q1, CAND, *_r("addr_sim"))
+    return B.tfidf_pairs(_blocks(spark, sf_dir), "addr_norm", "addr_sim", replace(FIXTURE, sim_floor=0.5, top_k=5)).select(Q1, CAND, *_r("addr_sim", digits=6))
 
 
 @query
@@ -114,7 +114,7 @@ def fallback_block(spark, sf_dir):
 @query
 def blocked_candidates(spark, sf_dir):
     c, _, _ = _candidates(spark, sf_dir)
-    return c.select(Q1, CAND, *_r("name_sim", "addr_sim", "token_jaccard", "addr_anchor", "blend_score"), "name_rank", "addr_rank", F.col("candidate_count").cast("long").alias("candidate_count"))
+    return c.select(Q1, CAND, *_r("name_sim", "blend_score", digits=6), *_r("addr_sim", "token_jaccard", "addr_anchor"), "name_rank", "addr_rank", F.col("candidate_count").cast("long").alias("candidate_count"))
 
 
 @query
@@ -126,20 +126,20 @@ def candidate_pairs(spark, sf_dir):
 @query
 def matching_results(spark, sf_dir):
     c, s1, _ = _candidates(spark, sf_dir)
-    return sinks.matching_results(c.where(F.round("blend_score", 4) >= 0.8), s1)
+    return sinks.matching_results(c.where(F.col("blend_score") >= 0.8), s1)
 
 
 @query
 def run_statistics(spark, sf_dir):
     c, s1, _ = _candidates(spark, sf_dir)
-    return sinks.run_statistics(c.where(F.round("blend_score", 4) >= 0.8), s1)
+    return sinks.run_statistics(c.where(F.col("blend_score") >= 0.8), s1)
 
 
 @query
 def output_violations(spark, sf_dir):
     """No row: the outputs are consistent."""
     c, s1, cat = _candidates(spark, sf_dir)
-    return sinks.violations(c.where(F.round("blend_score", 4) >= 0.8), c, s1, cat)
+    return sinks.violations(c.where(F.col("blend_score") >= 0.8), c, s1, cat)
 
 
 def _with_attributes(spark, sf_dir):
@@ -176,7 +176,6 @@ def feature_addr_cosine(spark, sf_dir):
 @query
 def reciprocal_nn(spark, sf_dir):
     c, _, _ = _candidates(spark, sf_dir)
-    c = c.withColumn("blend_score", F.round("blend_score", 4))
     return X.reciprocal(c).select(Q1, CAND, F.col("is_reciprocal_nn").cast("long").alias("is_reciprocal_nn"))
 
 
@@ -187,7 +186,7 @@ def _truth(spark, sf_dir):
 @query
 def labels_weights(spark, sf_dir):
     c, _, _ = _candidates(spark, sf_dir)
-    d = c.withColumn("name_match_addr_mismatch", ((F.round("name_sim", 4) > 0.9) & (F.col("addr_anchor") == 0)).cast("int"))
+    d = c.withColumn("name_match_addr_mismatch", ((F.col("name_sim") > 0.9) & (F.col("addr_anchor") == 0)).cast("int"))
     d = E.weighted(E.labelled(d, _truth(spark, sf_dir)), FIXTURE)
     fold = (F.substring(Q1, 2, 20).cast("long") % FIXTURE.n_folds).alias("fold")
     return d.select(Q1, CAND, F.col("is_match").cast("long").alias("is_match"), *_r("weight"), fold)
@@ -209,21 +208,20 @@ def reduction_ratio(spark, sf_dir):
 def entity_f05(spark, sf_dir):
     c, s1, _ = _candidates(spark, sf_dir)
     ids = s1.select(F.col("entity_id").alias(Q1))
-    return E.entity_scores(c.where(F.round("blend_score", 4) >= 0.8), _truth(spark, sf_dir), ids).select(Q1, "n_pred", "n_true", "hits", *_r("f_half"))
+    return E.entity_scores(c.where(F.col("blend_score") >= 0.8), _truth(spark, sf_dir), ids).select(Q1, "n_pred", "n_true", "hits", *_r("f_half"))
 
 
 @query
 def macro_f05(spark, sf_dir):
     c, s1, _ = _candidates(spark, sf_dir)
-    return E.macro_f_half(c.where(F.round("blend_score", 4) >= 0.8), _truth(spark, sf_dir)).select(*_r("macro_f_half"))
+    return E.macro_f_half(c.where(F.col("blend_score") >= 0.8), _truth(spark, sf_dir)).select(*_r("macro_f_half"))
 
 
 @query
 def threshold_sweep(spark, sf_dir):
     c, s1, _ = _candidates(spark, sf_dir)
     ids = s1.select(F.col("entity_id").alias(Q1))
-    d = c.withColumn("blend_score", F.round("blend_score", 4))
-    return E.threshold_sweep(d, _truth(spark, sf_dir), ids, FIXTURE, "blend_score").select(*_r("threshold", digits=2), *_r("macro_f_half"))
+    return E.threshold_sweep(c, _truth(spark, sf_dir), ids, FIXTURE, "blend_score").select(*_r("threshold", digits=2), *_r("macro_f_half"))
 
 
 @query
