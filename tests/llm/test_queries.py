@@ -37,4 +37,5 @@ def test_pipeline(spark):
         ids = now
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, at).toPandas()
     assert set(pieces.doc_id) == ids
-    assert corpus_pipeline.run(spark, at).count() == len(pieces)
+    again = corpus_pipeline.run(spark, at).toPandas()  # cuts depend on the order in which tasks read the queues
+    assert set(again.doc_id) == ids and again.length.sum() == pieces.length.sum()
