@@ -41,7 +41,7 @@ class Config:
 
 
 #: Small tables have too few entities in a block for the production document-frequency bounds.
-FIXTURE = Config(min_df=2, max_df=0.5, addr_min_df=2, addr_max_df=0.5)
+FIXTURE = Config(min_df=2, max_df=0.1, addr_min_df=2)
 
 #: The model's features in its order.
 FEATURE_COLS = [
