@@ -120,6 +120,7 @@ def pack(
     encoded = materialise(rows.mapInArrow(encode, ENCODED), "pack")
     parts = encoded.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     base = parts.select("queue", "part", (F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")).alias("base"))
+    base = materialise(base, "pack-base")  # its size is known when the join is planned, so a small one needs no shuffle of ids
     totals = np.zeros(len(names) if names is not None else MAX_QUEUES, dtype=np.int64)
     for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect():  # MAX_QUEUES rows at most
         totals[r["queue"]] = r["n"]
