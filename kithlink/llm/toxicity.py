@@ -1,8 +1,9 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 The labelled examples are a bounded sample (`SAMPLE` rows, drawn by a hash, about that many). Terms are the words of a
-text and their beginnings of 3 to 6 letters, so that inflected and compounded words meet; kept are those whose spread
-over the two labels is far from chance. Examples and queries are vectors of (1 + ln tf) * idf over these terms, scaled
+text and their beginnings of 3 to 6 letters, so that inflected and compounded words meet, and each of these again at
+every rate (`RATES`) that it reaches in the text, so that a chance hit in a long text isn't taken for a frequent word;
+kept are those whose spread over the two labels is far from chance. Examples and queries are vectors of (1 + ln tf) * idf over these terms, scaled
 to length 1. The index holds postings by term, ordered by block of examples, and the largest weight of each term in
 each block; the blocks of a query are visited by falling upper bound until no further block can reach the k best, so
 the neighbours are exact. Their votes, weighted by closeness, are calibrated by monotone regression on votes for each
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from kithlink.llm.common import materialise, text_of
 
 SAMPLE, TERMS, NEIGHBOURS, BLOCK, BEGINNINGS = 20_000, 4096, 15, 64, (3, 4, 5, 6)
+#: A term found twice or more, and once in so many words, counts again as a term of that rate.
+RATES = (256, 128, 64)
 EDGES = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»“”„‘’…–—¿¡"
 
 
@@ -36,16 +39,21 @@ def word_terms(word: str) -> tuple[str, ...]:
     return (w, *(w[:n] + "*" for n in BEGINNINGS if len(w) > n)) if w else ()
 
 
+def at_rate(term: str, words: int) -> str:
+    return f"{term} {words}"  # no word holds a blank
+
+
 class Terms:
     """From texts to counts of terms; the terms of a word are looked up once and remembered, up to a bound."""
 
     def __init__(self, vocabulary: dict[str, int] | None = None, remembered: int = 200_000):
         self.vocabulary, self.remembered, self.words = vocabulary, remembered, {}
+        self.plain = None if vocabulary is None else {t.split(" ")[0] for t in vocabulary}
 
     def _of(self, word: str):
         t = word_terms(word)
-        if self.vocabulary is not None:
-            t = tuple(self.vocabulary[x] for x in t if x in self.vocabulary)
+        if self.plain is not None:
+            t = tuple(x for x in t if x in self.plain)
         if len(self.words) >= self.remembered:
             self.words.clear()
         self.words[word] = t
@@ -53,14 +61,16 @@ class Terms:
 
     def counts(self, text: str) -> dict:
         out: dict = {}
-        known = self.words
-        for w in text.lower().split():
+        known, words = self.words, text.lower().split()
+        for w in words:
             t = known.get(w)
             if t is None:
                 t = self._of(w)
             for x in t:
                 out[x] = out.get(x, 0) + 1
-        return out
+        out |= {at_rate(x, r): 1 for x, n in out.items() if n > 1 for r in RATES if n * r >= len(words)}
+        v = self.vocabulary
+        return out if v is None else {v[x]: n for x, n in out.items() if x in v}
 
 
 def _llr(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:

@@ -386,6 +386,16 @@ def test_nearest_are_exact():
         assert np.allclose(scores, s[want]) and set(got[scores > scores[-1] + 1e-9]) == {k for k in want if s[k] > scores[-1] + 1e-9}
 
 
+def test_terms_at_a_rate():
+    short, long = "bad word bad word " * 2, "bad " * 3 + "good " * 300
+    own = toxicity.Terms().counts
+    assert own(short)["bad"] == 4 and all(own(short)[toxicity.at_rate("bad", r)] == 1 for r in toxicity.RATES)
+    assert toxicity.at_rate("bad", 128) in own(long) and toxicity.at_rate("bad", 64) not in own(long)
+    assert toxicity.at_rate("bad", 64) not in own("bad once") and own(" \t\n") == {}
+    known = {toxicity.at_rate("bad", 64): 0, "word": 1}
+    assert toxicity.Terms(known).counts(short) == {0: 1, 1: 4} and toxicity.Terms(known).counts(long) == {}
+
+
 def test_toxicity(spark, none):
     r = random.Random(4)
     clean, bad = [f"w{i}" for i in range(200)], ["slurone", "slurtwo", "slurthree"]
