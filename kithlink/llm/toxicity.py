@@ -109,11 +109,10 @@ class Index:
         for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 0 or len(best_s) >= k and bound[b] < floor - 1e-12:
                 break
-            scores = np.zeros(self.block)
-            for t, w in zip(ids.tolist(), weights.tolist()):
-                s, e = self.starts[t * self.blocks + b], self.starts[t * self.blocks + b + 1]
-                if e > s:
-                    scores[self.docs[s:e] - b * self.block] += w * self.weights[s:e]
+            at = ids * self.blocks + b
+            start, n = self.starts[at], self.starts[at + 1] - self.starts[at]
+            held = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+            scores = np.bincount(self.docs[held] - b * self.block, np.repeat(weights, n) * self.weights[held], self.block)
             hit = np.flatnonzero(scores > 0)
             hit = hit[hit + b * self.block != without]
             s, d = np.concatenate([best_s, np.round(scores[hit], 12)]), np.concatenate([best_d, hit + b * self.block])
@@ -152,7 +151,13 @@ class Scorer:
         bare = [labels[i] for i in range(n) if not len(vectors[i][0])]
         self.bare = (sum(bare) + self.prior) / (len(bare) + 1)
         self.index = Index([vectors[i] for i in full], [labels[i] for i in full], [names[i] for i in full], max(1, len(vocabulary)))
-        raw = np.array([self.vote(*v, without=i)[0] for i, v in enumerate(self.index.vectors)])
+        votes: dict = {}  # examples of the same vector and label have the same neighbours but for themselves
+        for i, (ids, w) in enumerate(self.index.vectors):
+            alike = ids.tobytes(), w.tobytes(), self.index.labels[i]
+            votes.setdefault(alike, []).append(i)
+        raw = np.zeros(self.index.n)
+        for same in votes.values():
+            raw[same] = self.vote(*self.index.vectors[same[0]], without=same[0])[0]
         self.steps, self.values = monotone(raw, self.index.labels) if len(full) >= 20 else ([0.0], [self.prior])
         self.remembered: dict = {}
 
