@@ -6,9 +6,9 @@ what one side lacks becomes optional; where both sides differ, the mismatch beco
 texts are slots after a tag. A page that the wrapper accepts costs one match; other pages widen it.
 
 A tag's symbol holds the region that it stands in: the sectioning elements and the marked divisions around it. Slots of
-regions made for menus, headers, footers, sidebars, notices, adverts, forms or reader comments are furniture. Among the
-others the wrapper picks the main region of the host, by the text that all its pages have there: an article or main
-element if there is one, else the region with most text outside links.
+regions made for menus, headers, footers, sidebars, notices, adverts, forms or reader comments are furniture. The main
+region is chosen for each page, as a host may have several templates: all outermost article and main elements if there
+is text in one, else, of the regions on the page, that with most text outside links on the host's pages that have it.
 
 Wrappers are folded per task and the tasks' wrappers are merged by host, so a host with a third of all pages is never
 one task's work; a wrapper has a bounded number of nodes.
@@ -59,7 +59,8 @@ _SPACE = re.compile(r"\s+")
 def tokens(page: str) -> list[tuple[str, str, bool]]:
     """(symbol, text, link): texts have the symbol of the tag before them; a tag has the text ''.
 
-    A symbol is `tag|region|kind`; region is a path of `tag.mark`, kind is c for content, f for furniture."""
+    A symbol is `tag|region|kind`; region is a path of `tag.mark`; kind is m for content inside an article or main
+    element, c for other content, f for furniture."""
     out: list[tuple[str, str, bool]] = []
     stack: list[tuple[str, str, str]] = []  # tag, path, kind
     path, kind, at, links, last = "", "c", 0, 0, "^||c"
@@ -88,10 +89,13 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
                     role = attrs.get("role", "").lower()
                     if (FURNITURE & set(words) and name not in ("body", "article", "main")) or role in FURNITURE_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
                         kind = "f"
-                    mark = "." + (role if role in CONTENT_ROLES else attrs.get("class", "").split(" ")[0][:30])
+                    # These have classes of a single page: they don't make another region.
+                    mark = "." + (role if role in CONTENT_ROLES else "" if name in ("article", "main", "body") else attrs.get("class", "").split(" ")[0][:30])
                 # A header inside the article holds its title; a page's own header does not.
                 if name in FURNITURE_TAGS and not (name == "header" and any(s[0] in ("article", "main") for s in stack)):
                     kind = "f"
+                if kind == "c" and (name in ("article", "main") or mark[1:] in CONTENT_ROLES):
+                    kind = "m"
                 path = f"{path}/{name}{mark if mark != '.' else ''}"[-300:]
                 stack.append((name, path, kind))
         last = f"{'/' if closing else ''}{name}|{path}|{kind}"
@@ -189,15 +193,7 @@ class Wrapper:
 
     def add_page(self, page: str) -> None:
         toks = tokens(page)
-        seen: dict[str, list[int]] = {}
-        for symbol, text, link in toks:
-            if text and (n := len(text) - text.count(" ")):
-                tag, region, kind = symbol.rsplit("|", 2)
-                if kind == "c":
-                    s = seen.setdefault(region, [1, 0, 0])
-                    s[1] += n
-                    s[2] += n * link
-        for r, s in seen.items():
+        for r, s in _page_stats(toks).items():
             self.stats[r] = [x + y for x, y in zip(self.stats.get(r, [0, 0, 0]), s)]
         tags = [s for s, text, _ in toks if not text]
         if not self.accepts(tags):
@@ -208,7 +204,7 @@ class Wrapper:
             self.widen(other.nodes)
         for r, s in other.stats.items():
             self.stats[r] = [x + y for x, y in zip(self.stats.get(r, [0, 0, 0]), s)]
-        if len(self.stats) > 4 * MAX_NODES:  # the regions with most text; others can't be a host's main one
+        if len(self.stats) > 4 * MAX_NODES:  # the regions with most text; for others a page's own text counts
             self.stats = dict(sorted(self.stats.items(), key=lambda x: (-x[1][1], x[0]))[: 2 * MAX_NODES])
 
     def to_json(self) -> str:
@@ -218,44 +214,45 @@ class Wrapper:
     def from_json(cls, s: str) -> Wrapper:
         return cls(*json.loads(s))
 
-    def main(self) -> str | None:
-        """The main region: None if pages have no content outside furniture; '' if it's the whole page."""
-        if not self.stats:
-            return None
-
-        def whole(r: str) -> list[int]:
-            inside = [s for q, s in self.stats.items() if q == r or q.startswith(r + "/")]
-            return [sum(x) for x in zip(*inside)]
-
-        named: dict[str, int] = {}
-        for q in self.stats:
-            parts = q.split("/")
-            for i, p in enumerate(parts):
-                if p.split(".")[0] in ("article", "main") or p.split(".")[-1] in CONTENT_ROLES:
-                    named["/".join(parts[: i + 1])] = i
-                    break
-        if named:
-            inner = max(named, key=lambda r: (whole(r)[1], r))
-            # main may hold one article besides other things
-            articles = [q for q in {"/".join(p[: i + 1]) for p in (q.split("/") for q in self.stats) for i in range(len(p)) if p[i].split(".")[0] == "article"} if q.startswith(inner + "/")]
-            return max(articles, key=lambda r: (whole(r)[1], r)) if articles else inner
-        own = {r: s[1] - 2 * s[2] for r, s in self.stats.items()}
-        best = max(own, key=lambda r: (own[r], r))
-        return best if own[best] * 2 >= sum(max(v, 0) for v in own.values()) else ""
-
-    def slots(self) -> set[str]:
-        """Tags after which text is content."""
-        at = self.main()
-        out = set()
-        if at is not None:
-            for s in [*_symbols(self.nodes or []), "^||c"]:
-                _, region, kind = s.rsplit("|", 2)
-                if kind == "c" and (not at or region == at or region.startswith(at + "/")):
-                    out.add(s)
-        return out
-
-
-def extract(page: str, slots: set[str]) -> str:
+    def means(self) -> dict[str, float]:
+        """Text outside links on a page, by region; without those of a single page, which that page knows itself."""
+        return {r: (s[1] - 2 * s[2]) / s[0] for r, s in self.stats.items() if s[0] > 1}
+
+
+def _page_stats(toks: list[tuple[str, str, bool]]) -> dict[str, list[int]]:
+    """region -> [1, characters, in links] of content outside article and main."""
+    seen: dict[str, list[int]] = {}
+    for symbol, text, link in toks:
+        if text and (n := len(text) - text.count(" ")):
+            _, region, kind = symbol.rsplit("|", 2)
+            if kind == "c":
+                s = seen.setdefault(region, [1, 0, 0])
+                s[1] += n
+                s[2] += n * link
+    return seen
+
+
+def slots(toks: list[tuple[str, str, bool]], means: dict[str, float]) -> set[str]:
+    """Tags of a page after which text is content."""
+    symbols = {s for s, _, _ in toks} | {"^||c"}
+    if any(text and symbol.endswith("|m") and not text.isspace() for symbol, text, _ in toks):
+        return {s for s in symbols if s.endswith("|m")}
+    own = {r: means.get(r, s[1] - 2 * s[2]) for r, s in _page_stats(toks).items()}
+    if not own:
+        return set()
+    best = max(own, key=lambda r: (own[r], r))
+    at = best if own[best] * 2 >= sum(max(v, 0) for v in own.values()) else ""
+    out = set()
+    for s in symbols:
+        _, region, kind = s.rsplit("|", 2)
+        if kind != "f" and (not at or region == at or region.startswith(at + "/")):
+            out.add(s)
+    return out
+
+
+def extract(page: str, means: dict[str, float]) -> str:
+    toks = tokens(page)
+    inside = slots(toks, means)
     blocks, line = [], []
 
     def end():
@@ -264,11 +261,11 @@ def extract(page: str, slots: set[str]) -> str:
                 blocks.append(t)
             line.clear()
 
-    for symbol, text, _ in tokens(page):
+    for symbol, text, _ in toks:
         if text:
-            if symbol in slots:
+            if symbol in inside:
                 line.append(text)
-        elif symbol.split("|", 1)[0].lstrip("/") not in INLINE or symbol not in slots:
+        elif symbol.split("|", 1)[0].lstrip("/") not in INLINE or symbol not in inside:
             end()
     end()
     return " ".join(blocks)
@@ -321,23 +318,23 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def chosen(batches):
         for b in batches:
-            slots = ["\n".join(sorted(Wrapper.from_json(w).slots())) for w in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(slots, pa.string())], names=["host", "slots"])
+            means = [json.dumps(Wrapper.from_json(w).means(), sort_keys=True) for w in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(means, pa.string())], names=["host", "means"])
 
-    wrappers = materialise(infer(pages).mapInArrow(chosen, "host string, slots string"), "wrappers")
+    wrappers = materialise(infer(pages).mapInArrow(chosen, "host string, means string"), "wrappers")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
 
     def run(batches):
-        known: dict[str, set[str]] = {}
+        known: dict[str, dict[str, float]] = {}
         for b in batches:
             texts = []
             for page, w in zip(b.column(2), b.column(3).to_pylist()):
                 if w not in known:
                     if len(known) > 2000:
                         known.clear()
-                    known[w] = set(w.split("\n"))
+                    known[w] = json.loads(w)
                 texts.append(extract(page.as_py(), known[w]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    joined = rows.join(wrappers, "host").select("page_id", "url", "html", "slots")
+    joined = rows.join(wrappers, "host").select("page_id", "url", "html", "means")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

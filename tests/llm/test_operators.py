@@ -446,6 +446,22 @@ def test_pages(spark, main):
     assert html_extraction.main_text(df.limit(0)).collect() == []
 
 
+def test_pages_of_several_templates(spark):
+    """Classes of a single page, several articles, and templates without article on one host."""
+    strip = "<div class='strip'><p>On every page</p></div>"
+    def page(n):
+        if n % 4 == 0:
+            return f"<body class='single'>{strip}<article class='post-{n} hentry'><p>First {n}</p></article></body>"
+        if n % 4 == 1:
+            return f"<body class='home'>{strip}<main><article class='post-{n}'><p>One {n}</p></article><article class='post-{n + 1}'><p>Two {n}</p></article></main></body>"
+        kind = "story" if n % 4 == 2 else "recipe"
+        return f"<body class='p{n}'>{strip}<div class='{kind}'><p>{' '.join([kind] * (40 if kind == 'story' else 9))} {n}</p></div></body>"
+    say = lambda n: [f"First {n}", f"One {n} Two {n}", "story " * 40 + str(n), "recipe " * 9 + str(n)][n % 4]
+    df = spark.createDataFrame([(n, f"https://one.example.org/{n}", page(n)) for n in range(40)], "page_id long, url string, html string").repartition(3)
+    got = html_extraction.main_text(df).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {n: say(n) for n in range(40)}
+
+
 def test_wrapper_infers_repeats_and_options():
     w = html_extraction.Wrapper()
     w.add_page("<div><p>a</p><p>b</p></div>")
