@@ -24,6 +24,7 @@ import html as _html
 import json
 import re
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,11 +57,18 @@ MAX_NODES = 400
 _SPACE = re.compile(r"\s+")
 
 
-def tokens(page: str) -> list[tuple[str, str, bool]]:
+@lru_cache(1 << 16)
+def _region(parent: str, step: str) -> str:
+    import xxhash
+
+    return xxhash.xxh64_hexdigest(f"{parent}/{step}")
+
+
+def tokens(page: str, above: dict[str, str] | None = None) -> list[tuple[str, str, bool]]:
     """(symbol, text, link): texts have the symbol of the tag before them; a tag has the text ''.
 
-    A symbol is `tag|region|kind`; region is a path of `tag.mark`; kind is m for content inside an article or main
-    element, c for other content, f for furniture."""
+    A symbol is `tag|region|kind`; region is a hash over the whole path of `tag.mark`, '' for the page; kind is m for content inside an article or main
+    element, c for other content, f for furniture. above, if given, is filled with the region around each region."""
     out: list[tuple[str, str, bool]] = []
     stack: list[tuple[str, str, str]] = []  # tag, path, kind
     path, kind, at, links, last = "", "c", 0, 0, "^||c"
@@ -96,7 +104,9 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
                     kind = "f"
                 if kind == "c" and (name in ("article", "main") or mark[1:] in CONTENT_ROLES):
                     kind = "m"
-                path = f"{path}/{name}{mark if mark != '.' else ''}"[-300:]
+                outer, path = path, _region(path, f"{name}{mark if mark != '.' else ''}")
+                if above is not None:
+                    above[path] = outer
                 stack.append((name, path, kind))
         last = f"{'/' if closing else ''}{name}|{path}|{kind}"
         out.append((last, "", False))
@@ -232,7 +242,7 @@ def _page_stats(toks: list[tuple[str, str, bool]]) -> dict[str, list[int]]:
     return seen
 
 
-def slots(toks: list[tuple[str, str, bool]], means: dict[str, float]) -> set[str]:
+def slots(toks: list[tuple[str, str, bool]], above: dict[str, str], means: dict[str, float]) -> set[str]:
     """Tags of a page after which text is content."""
     symbols = {s for s, _, _ in toks} | {"^||c"}
     if any(text and symbol.endswith("|m") and not text.isspace() for symbol, text, _ in toks):
@@ -242,17 +252,16 @@ def slots(toks: list[tuple[str, str, bool]], means: dict[str, float]) -> set[str
         return set()
     best = max(own, key=lambda r: (own[r], r))
     at = best if own[best] * 2 >= sum(max(v, 0) for v in own.values()) else ""
-    out = set()
-    for s in symbols:
-        _, region, kind = s.rsplit("|", 2)
-        if kind != "f" and (not at or region == at or region.startswith(at + "/")):
-            out.add(s)
-    return out
+    inside = {"": not at, at: True}
+    for r, outer in above.items():  # outer regions come first
+        inside[r] = r == at or inside[outer]
+    return {s for s in symbols if not s.endswith("|f") and inside[s.rsplit("|", 2)[1]]}
 
 
 def extract(page: str, means: dict[str, float]) -> str:
-    toks = tokens(page)
-    inside = slots(toks, means)
+    above: dict[str, str] = {}
+    toks = tokens(page, above)
+    inside = slots(toks, above, means)
     blocks, line = [], []
 
     def end():

@@ -462,6 +462,18 @@ def test_pages_of_several_templates(spark):
     assert {r["page_id"]: r["text"] for r in got} == {n: say(n) for n in range(40)}
 
 
+@pytest.mark.parametrize("main", ["article", "div"])
+def test_pages_of_deep_regions(main):
+    """Text far inside, or all of the main region far inside, with long classes."""
+    at = [f"wrapper-with-quite-a-long-name{i}" for i in range(40)]
+    deep = lambda x: "".join(f"<div class='{c}'>" for c in at) + x + "</div>" * len(at)
+    for page in (f"<{main} class='story'><p>{'top ' * 50}</p>" + deep("<p>deep</p>") + f"</{main}>", deep(f"<{main} class='story'><p>{'top ' * 50}</p>" + deep("<p>deep</p>") + f"</{main}>")):
+        page = f"<body><p>strip</p>{page}</body>"
+        w = html_extraction.Wrapper()
+        w.add_page(page)
+        assert html_extraction.extract(page, w.means()) == "top " * 50 + "deep"
+
+
 def test_wrapper_infers_repeats_and_options():
     w = html_extraction.Wrapper()
     w.add_page("<div><p>a</p><p>b</p></div>")
