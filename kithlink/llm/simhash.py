@@ -202,9 +202,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return rows.join(materialise(labels, "simhash-labels"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, groups=near_groups) -> DataFrame:
     """One row of each group: that of the smallest doc_id. Rows without doc_id stay."""
-    seen = materialise(near_groups(docs), "simhash-groups")
+    seen = materialise(groups(docs), "simhash-groups")
     drop = seen.where("doc_id <> component_id").select(F.col("doc_id").alias("__doc")).distinct()
     kept = docs.join(drop, F.col("doc_id") == F.col("__doc"), "left_anti")
     again = seen.where("doc_id is not null and doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from kithlink.llm import edit_counts, exact_dedup, html_extraction, line_dedup, packing, piece, quality_rules, simhash, token_store, toxicity
+from kithlink.llm import edit_counts, exact_dedup, html_extraction, line_dedup, packing, piece, quality_rules, shingle_groups, simhash, token_store, toxicity
 from kithlink.llm.components import components
 
 WS = " \t\n\x0b\x0c\r"
@@ -211,6 +211,42 @@ def test_simhash(docs, none):
     assert sorted(r["doc_id"] for r in one.collect() if r["doc_id"] is not None) == sorted({w[2] for w in want if w[2] is not None})
 
 
+def test_pipeline_drops_similar_texts(spark, docs, none, monkeypatch):
+    """The pipeline's near-copy stage against all pairs of five-word shingle sets, also in tiles."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(shingle_groups, "TILE", 16)
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for k in range(60):
+        base = [r.choice(words) for _ in range(r.choice([100, 300, 1000]))]
+        texts.append(" ".join(base))
+        for share in r.sample([0.005, 0.01, 0.015, 0.02, 0.03, 0.06], 3) if k else [0.004] * 50:
+            texts.append(" ".join("edited" + str(r.random()) if r.random() < share else w for w in base))
+    data = list(enumerate(texts)) + [(9000, None), (9001, " "), (9002, "Two Words"), (9003, "two  words"), (None, texts[0])]
+
+    def shingled(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+    ids, sets = [d for d, _ in data if d is not None], [shingled(t) for d, t in data if d is not None]
+    up = list(range(len(ids)))
+    root = lambda i: i if up[i] == i else root(up[i])
+    near = 0
+    for i in range(len(ids)):
+        for k in range(i):
+            if 5 * len(sets[i] & sets[k]) >= 4 * len(sets[i] | sets[k]):
+                near += 1
+                a, b = sorted((root(i), root(k)))
+                up[b] = a
+    want = sorted({ids[root(i)] for i in range(len(ids))})
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = [x["doc_id"] for x in corpus_pipeline.drop_near_copies(spark, df, "").collect()]
+    assert near > 100 and sorted(x for x in got if x is not None) == want and got.count(None) == 1
+    assert corpus_pipeline.drop_near_copies(spark, none, "").collect() == []
+
+
 @pytest.mark.parametrize("bucket", [512, 4])
 def test_simhash_links_are_whole(spark, bucket):
     """Dense clusters in hot buckets, which are dealt again and tiled, against all pairs."""
