@@ -255,9 +255,8 @@ def pair_features(spark, sf_dir):
 
 @query
 def match_predict(spark, sf_dir):
-    """Features, grouped folds of boosted trees, calibration, threshold, matches. Few trees, as the table is small."""
+    """Features, grouped folds of boosted trees, calibration, threshold, matches. All trees and folds of the settings."""
     c, s1, cat = _candidates(spark, sf_dir)
-    cfg = replace(FIXTURE, trees=5, learning_rate=0.3, max_depth=4, n_folds=2)
-    f = stage(X.compute_features(c, s1, cat, cfg), "features")
-    matcher, _ = M.train_matcher(f, _truth(spark, sf_dir), cfg)
+    f = stage(X.compute_features(c, s1, cat, FIXTURE), "features")
+    matcher, _ = M.train_matcher(f, _truth(spark, sf_dir), FIXTURE)
     return M.predict(f, matcher).select(Q1, CAND, *_r("score"))

@@ -23,6 +23,22 @@ def test_runs(spark, name):
     assert len(QUERIES[name](spark, SF).toPandas()) > 0
 
 
+def test_match_predict_trains_the_whole_model(spark, monkeypatch):
+    from kithlink.operators import model
+
+    class Seen(Exception):
+        pass
+
+    def train(features, truth, cfg):
+        whole = Config()
+        assert (cfg.trees, cfg.learning_rate, cfg.max_depth, cfg.n_folds) == (whole.trees, whole.learning_rate, whole.max_depth, whole.n_folds)
+        raise Seen
+
+    monkeypatch.setattr(model, "train_matcher", train)
+    with pytest.raises(Seen):
+        QUERIES["match_predict"](spark, SF)
+
+
 def test_entry():
     import __spark_entry__ as e
 
