@@ -1,6 +1,7 @@
 """Every operator against plain Python on documents with nulls, blanks, long texts, copies, ties and clashing columns."""
 
 import hashlib
+import json
 import random
 import re
 import struct
@@ -507,16 +508,108 @@ def test_pages_of_deep_regions(main):
         page = f"<body><p>strip</p>{page}</body>"
         w = html_extraction.Wrapper()
         w.add_page(page)
-        assert html_extraction.extract(page, w.means()) == "top " * 50 + "deep"
+        assert html_extraction.extract(page, w.digest()) == "top " * 50 + "deep"
 
 
-def test_wrapper_infers_repeats_and_options():
+def inferred(pages):
     w = html_extraction.Wrapper()
-    w.add_page("<div><p>a</p><p>b</p></div>")
-    assert [n[0] for n in w.nodes] == ["t", "+", "t"]
-    before = w.to_json()
-    w.add_page("<div><p>a</p><p>b</p><p>c</p></div>")
-    assert html_extraction.Wrapper.from_json(before).nodes == w.nodes
+    for p in pages:
+        w.add_page(p)
+    return w
+
+
+def test_wrapper_infers_repeats_and_options():
+    w = inferred(["<div><p>a</p><p>b</p></div>", "<div><p>c</p><p>d</p></div>"])
+    (div,) = (r for p, r in w.regions.items() if p)
+    assert div.texts == [] and div.gaps == [[["+", [["t", "p"]]]]]
+    before = div.to_json()
+    w.add_page("<div><p>e</p><p>f</p><p>g</p></div>")
+    assert html_extraction.Region.from_json(before).gaps == div.gaps
     w.add_page("<div><h1>t</h1><p>a</p><p>b</p></div>")
-    tags = [s for s, t, _ in html_extraction.tokens("<div><h1>t</h1><p>a</p><p>b</p></div>") if not t]
-    assert w.accepts(tags) and "?" in [n[0] for n in w.nodes]
+    assert html_extraction.accepts(div.gaps[0], ["h1", "p", "p"]) and html_extraction.accepts(div.gaps[0], ["p", "p"]) and div.gaps[0][0] == ["?", [["t", "h1"]]]
+    assert not html_extraction.accepts(div.gaps[0], ["p", "h1"])
+
+
+def test_wrapper_merges_as_if_pages_came_one_by_one():
+    pages = [f"<article><h1>t{i}</h1>" + "".join(f"<p>{i} {k}</p>" for k in range(1 + i % 3)) + ("<h2>x</h2>" if i % 4 == 0 else "") + "<div class='box'><p>Same</p></div></article>" for i in range(12)]
+    whole, parts = inferred(pages), [inferred(pages[i::3]) for i in range(3)]
+    for w in parts[1:]:
+        for p, r in w.regions.items():
+            parts[0].regions[p].merge(r)
+    for p in pages:
+        assert html_extraction.extract(p, whole.digest()) == html_extraction.extract(p, parts[0].digest())
+    assert "Same" not in html_extraction.extract(pages[0], whole.digest())
+
+
+SAME = "Get our weekly letter"
+
+
+def story(n, before="", after=""):
+    return f"<body><article><h1>Title {n}</h1>{before}" + "".join(f"<p>{('words of the story ' * 6)}{n} {k}</p>" for k in range(1 + n % 3)) + f"{after}</article></body>"
+
+
+def test_template_inside_the_main_region_goes():
+    """Through the alignment alone: no class, no tag of furniture. Replacing it by the bag of its tags keeps the texts."""
+    pages = [story(n, "<div><p>By the desk</p></div>", f"<p>{SAME}</p>") for n in range(8)]
+    known = inferred(pages).digest()
+    for n, p in enumerate(pages):
+        assert html_extraction.extract(p, known) == html_extraction.extract(story(n), {})
+    bag = {k: [v[0], v[1], v[2], [], []] for k, v in known.items()}
+    assert SAME in html_extraction.extract(pages[0], bag) and "By the desk" in html_extraction.extract(pages[0], bag)
+
+
+def test_template_is_told_by_its_place():
+    """The same words as content stay: only the aligned one goes; and so do words that a page has in a region of its own."""
+    pages = [story(n, f"<p>{SAME}</p>" if n == 5 else "", f"<p>{SAME}</p>") for n in range(8)]
+    known = inferred(pages).digest()
+    assert html_extraction.extract(pages[5], known) == html_extraction.extract(story(5, f"<p>{SAME}</p>"), {})
+    assert SAME not in html_extraction.extract(pages[4], known)
+    some = [story(n, after="<ul><li>item</li></ul>" if n % 2 else "") for n in range(8)]
+    assert html_extraction.extract(some[1], inferred(some).digest()).endswith(" item")
+
+
+def test_copies_are_no_template():
+    copies = [story(1)] * 9
+    assert html_extraction.extract(copies[0], inferred(copies).digest()) == html_extraction.extract(copies[0], {})
+    near = [story(1, after=f"<p>{n}</p>") for n in range(9)]  # most of the text is the same
+    for p in near:
+        assert html_extraction.extract(p, inferred(near).digest()) == html_extraction.extract(p, {})
+
+
+@pytest.mark.parametrize(("inner", "want"), [
+    ("<div class='share-price'><p>Up 3</p></div>", "Up 3"), ("<div class='form-group'><p>Class</p></div>", "Class"), ("<div class='legal-news side-by-side'>Law</div>", "Law"),
+    ("<div class='post-comments'><p>Nice!</p></div>", ""), ("<div class='share-buttons'>Tweet</div>", ""), ("<div id='related-posts-2'>More</div>", ""), ("<div class='ad'>Buy</div>", ""),
+    ("<p class=it's>Hello", "Hello"), ("<p title='a>b' data-x=\"c>d\">in</p>", "in"), ("<p title=\">odd</p>", "odd"), ("a < b && c &lt; d", "a < b && c < d"), ("<button>Go</button><p>on</p>", "on"),
+    ("<script>if (a<b) '<p>no</p>'</script >x", "x"), ("<math><mi>x</mi></math>", "x"), ("<!-- <p>no</p> -->yes", "yes"), ("</3 <b>bo</b>ld", "bold"), ("<table><tr><td>1<td>2<tr><td>3</table>", "1 2 3"),
+    ("<ul>" * 120 + "<li>deep</li>" + "</ul>" * 120, "deep"), ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"), ("<header><h2>Sub</h2></header>", "Sub"), ("<select><option>1</select>", ""),
+])
+def test_markup(inner, want):
+    page = f"<body><div class='menu'>Menu</div><article><p>First</p>{inner}</article><footer>end</footer></body>"
+    assert html_extraction.extract(page, {}) == f"First {want}".strip()
+    assert html_extraction.extract(page, inferred([page, page.replace("First", "Second")]).digest()) == f"First {want}".strip()
+
+
+def test_pages_without_furniture_words_or_articles(spark):
+    """Three templates on a host, by what varies and what repeats alone; also where class words mislead."""
+    r = random.Random(8)
+    text = lambda n: " ".join(r.choice(["one", "two", "three", "four"]) for _ in range(n))
+    data, want = [], {}
+    for n in range(45):
+        body, top = text(50), "<div class='x1'><p>Site of sites</p></div><div class='x2'><a href='/'>" + text(4) + "</a></div>"
+        data.append((n, "https://u@three.example.org:80/a", [
+            f"<body>{top}<div class='s{n}'><h1>H {n}</h1><p>{body}</p><p>Fixed words</p></div></body>",
+            f"<body>{top}<table><tr><td>{body}</td></tr></table></body>",
+            f"<body>{top}<div class='widget'><p>{body}</p></div></body>",
+        ][n % 3], "h", "p"))
+        want[n] = [f"H {n} {body}", body, body][n % 3]
+    data.append((50, "https://three.example.org/", "<p>" + "long " * 200_000 + "</p>", "h", "p"))
+    want[50] = ("long " * 200_000).strip()
+    df = spark.createDataFrame(data, "page_id long, url string, html string, host string, path string").repartition(4)
+    got = {x["page_id"]: x["text"] for x in html_extraction.main_text(df).collect()}
+    assert got == want
+
+
+def test_wrapper_of_many_classes_is_bounded():
+    w = inferred(f"<body><div class='{''.join(random.Random(n).choices('abcdefgh', k=12))}'><p>t {n}</p></div></body>" for n in range(900))
+    body = next(r for r in w.regions.values() if r.pages == 900 and any("div" in json.dumps(g) for g in r.gaps))
+    assert len(body.to_json()) < 20_000
