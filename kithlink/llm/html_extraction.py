@@ -434,7 +434,7 @@ class Wrapper:
     def digest(self) -> dict:
         """What a page needs of it: {path: [varying characters outside links on a page, whether that is sure, how many
         regions further out have it once each, template texts, the expressions around these]}."""
-        out = {}
+        out, ups = {}, {}
         once: dict[tuple[str, str], bool] = {}
         for path, r in self.regions.items():
             plain = Counter(n[1] for g in r.gaps for n in g if n[0] == "t")
@@ -444,12 +444,15 @@ class Wrapper:
         for path, r in self.regions.items():
             if r.pages < 2:  # its one page knows it itself
                 continue
-            up, at = 0, path
-            while at and at in self.regions and once.get((self.regions[at].around, at)):
-                up, at = up + 1, self.regions[at].around
+            chain, at = [], path
+            while at not in ups and at and at in self.regions and once.get((self.regions[at].around, at)):
+                chain.append(at)
+                at = self.regions[at].around
+            for n, p in enumerate(reversed(chain), ups.setdefault(at, 0) + 1):
+                ups[p] = n
             sure = len(r.different) >= EVIDENCE
             fixed = sum(t[2] for t in r.texts) if sure else 0
-            out[path] = [round((r.chars - 2 * r.linked) / r.pages - fixed, 3), sure, up, r.texts if sure else [], r.gaps if sure and r.texts else []]
+            out[path] = [round((r.chars - 2 * r.linked) / r.pages - fixed, 3), sure, ups[path], r.texts if sure else [], r.gaps if sure and r.texts else []]
         return out
 
 
