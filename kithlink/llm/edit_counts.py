@@ -3,8 +3,9 @@
 A document is cut into leaves at places where no pre-token can cross: before a white-space character that follows a
 character of another kind. A binary tree over the leaves holds their token counts as subtree sums. An edit replaces
 characters [start, end) of the current text; only the leaves that it touches are encoded again, with neighbours as
-boundary context as long as an outer end is no safe place, and the sums on the paths to the root are updated. When the
-edited leaves grow past a bound the document's tree is built anew.
+boundary context as long as an outer end is no safe place, and the sums on the paths to the root are updated. When an
+edit needs more leaves than it touches, the tree is laid out anew from the other leaves' known counts: none of them is
+encoded again. No added token of the tokenizer holds white space, so no cut goes through one.
 
 Defined cases: null text is an empty text with no tokens; an edit with null fields changes nothing; start and end are
 brought into the text, and start past end is an insertion at start; edits are applied in the order of seq, then start;
@@ -32,7 +33,8 @@ _SAFE = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?=[ \t\n\r])")
 class CountTree:
     def __init__(self, text: str, encode, leaf: int = LEAF):
         self.encode, self.leaf, self.encoded_chars = encode, leaf, 0
-        self._build(text)
+        leaves = self._cut(text)
+        self._lay(leaves, [self._count(x) for x in leaves])
 
     def _count(self, text: str) -> int:
         self.encoded_chars += len(text)
@@ -48,16 +50,16 @@ class CountTree:
             at = m.start()
         return [*out, text[at:]]
 
-    def _build(self, text: str) -> None:
-        self.leaves = self._cut(text)
-        self.size = 1 << max(0, len(self.leaves) - 1).bit_length()
-        self.counts = np.zeros(2 * self.size, dtype=np.int64)
-        self.lens = np.zeros(2 * self.size, dtype=np.int64)
-        for i, x in enumerate(self.leaves):
-            self.counts[self.size + i], self.lens[self.size + i] = self._count(x), len(x)
-        for t in (self.counts, self.lens):
-            for i in range(self.size - 1, 0, -1):
-                t[i] = t[2 * i] + t[2 * i + 1]
+    def _lay(self, leaves: list[str], counts: list[int]) -> None:
+        self.leaves = leaves
+        self.size = 1 << max(0, len(leaves) - 1).bit_length()
+        self.counts, self.lens = (np.zeros(2 * self.size, dtype=np.int64) for _ in range(2))
+        for t, values in ((self.counts, counts), (self.lens, [len(x) for x in leaves])):
+            t[self.size : self.size + len(leaves)] = values
+            at = self.size
+            while at > 1:
+                t[at // 2 : at] = t[at : 2 * at : 2] + t[at + 1 : 2 * at : 2]
+                at //= 2
 
     @property
     def total(self) -> int:
@@ -101,12 +103,13 @@ class CountTree:
         while b < last and not self._safe(region[-1:], self._first(b)):
             b += 1
             region += self.leaves[b]
-        if len(region) > 8 * self.leaf * (b - a + 1):
-            self._build("".join(self.leaves[:a]) + region + "".join(self.leaves[b + 1 :]))
-            return self.total
         parts = self._cut(region)
-        if len(parts) > b - a + 1:
+        if len(parts) > b - a + 1 and len(region) <= 8 * self.leaf * (b - a + 1):  # some longer leaves rather than another layout
             parts[b - a :] = ["".join(parts[b - a :])]
+        if len(parts) > b - a + 1:
+            known = self.counts[self.size : self.size + len(self.leaves)].tolist()
+            self._lay([*self.leaves[:a], *parts, *self.leaves[b + 1 :]], [*known[:a], *(self._count(x) for x in parts), *known[b + 1 :]])
+            return self.total
         for k in range(b - a + 1):
             x = parts[k] if k < len(parts) else ""
             if x != self.leaves[a + k]:
@@ -135,7 +138,8 @@ def edit_counts(docs: DataFrame, edits: DataFrame | None = None, *, derive=None,
         bpe = byte_bpe(folder)
         for b in batches:
             rows = []
-            for doc_id, text, *given in zip(*(c.to_pylist() for c in b.columns)):
+            for doc_id, held, *given in zip(*b.columns):  # a text at a time
+                doc_id, text, given = doc_id.as_py(), held.as_py(), [x.as_py() for x in given]
                 tree = CountTree(text, bpe.encode, leaf)
                 before, tree.encoded_chars, n = tree.total, 0, 0
                 todo = derive(text) if derive else [(e["start"], e["end"], e["new"]) for e in given[0] or []]

@@ -23,7 +23,7 @@ def made(seed=1):
     words = ["alpha", "Beta", "gamma,", "délta", "epsilon.", "ζeta", "the", "of", "x1", "Größe"]
     line = lambda n: " ".join(r.choice(words) for _ in range(n))
     shared = "This is a Passage that is shared by very many of the documents."
-    texts = [None, "", " ", "\n\n", "\t a\x0b\x0cb \r\n c", "<|endoftext|> tail", "日本語のテキスト 😀 ok", "a　b  c", "▁ mark  twice ▁▁", "x" * 30_000, " " * 5000 + "y", "0123456 789012 call  now"]
+    texts = [None, "", " ", "\n\n", "\t a\x0b\x0cb \r\n c", "<|endoftext|> tail", "head <|endoftext|>", "in the <|endoftext|><|endoftext|> middle<|endoftext|>s 日本<|endoftext|>", "<|endoftext|>", "日本語のテキスト 😀 ok", "a　b  c", "▁ mark  twice ▁▁", "x" * 30_000, " " * 5000 + "y", "0123456 789012 call  now"]
     texts += ["\n".join([line(r.randint(3, 30)), "  " + (shared.upper() if i % 2 else shared) + "\t", line(12)]) for i in range(14)]
     base = line(400)
     for i in range(8):
@@ -292,7 +292,6 @@ def plain_ids(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [x.ids + [0] for x in t.encode_batch([y or "" for y in text], add_special_tokens=False)]
 
 
@@ -382,7 +381,7 @@ def test_count_tree_follows_any_edits(seed):
     from kithlink.llm.bpe import byte_bpe
 
     r = random.Random(seed)
-    part = lambda: "".join(r.choice(["a", "bc", " ", "  ", "\n", "'s", "12", ".", "é", " ", "\x1c", "\t", "word"]) for _ in range(r.randint(0, 60)))
+    part = lambda: "".join(r.choice(["<|endoftext|>", "<|end", "oftext|>", "a", "bc", " ", "  ", "\n", "'s", "12", ".", "é", " ", "\x1c", "\t", "word"]) for _ in range(r.randint(0, 60)))
     text = part() * 8
     enc = byte_bpe().encode
     tree = edit_counts.CountTree(text, enc, leaf=24)
@@ -393,6 +392,19 @@ def test_count_tree_follows_any_edits(seed):
         assert tree.edit(s, e, new) == len(enc(text)) and tree.text == text
 
 
+def test_a_long_insertion_encodes_its_region_alone():
+    from kithlink.llm.bpe import byte_bpe
+
+    text, new = "some words of a text " * 4000, "another text " * 3000
+    tree = edit_counts.CountTree(text, byte_bpe().encode)
+    tree.encoded_chars = 0
+    assert tree.edit(40_000, 40_010, new) == len(byte_bpe().encode(text[:40_000] + new + text[40_010:]))
+    assert len(new) <= tree.encoded_chars < len(new) + 3 * edit_counts.LEAF
+    tree.encoded_chars = 0
+    tree.edit(100, 100, " <|endoftext|> ")
+    assert tree.encoded_chars < 3 * edit_counts.LEAF and tree.total == len(byte_bpe().encode(tree.text))
+
+
 def test_edits_as_a_table(spark):
     d = spark.createDataFrame([(1, "one two three"), (2, None), (3, "left alone")], "doc_id long, text string")
     e = spark.createDataFrame([(1, 2, 0, 3, "1"), (1, 1, 4, 7, "2 2"), (2, 1, 0, 0, "new words"), (9, 1, 0, 1, "x"), (3, 1, None, 2, "x"), (None, 1, 0, 1, "x")], "doc_id long, seq int, start int, end int, new string")
