@@ -350,6 +350,59 @@ def test_packing(docs, none, targets):
     assert packing.pack(none).collect() == []
 
 
+@pytest.mark.parametrize("targets", [None, [3, 1, 0.5], [1, 0, 2.5], [1e-9, 1, 1]])
+def test_schedule_puts_each_token_once(targets):
+    """All tokens of small queues, one by one."""
+    r = random.Random(2)
+    for _ in range(30):
+        totals = [r.choice([0, 1, 2, 7, 40, 200]) for _ in range(r.choice([3, 3, 9, 33]))]
+        weights = targets and [targets[i % 3] for i in range(len(totals))]
+        s, seen = packing.Schedule(totals, weights, 16), {}
+        for q, total in enumerate(totals):
+            ranks = [s.rank(q, i) for i in range(total)]
+            assert ranks == sorted(set(ranks))
+            for n in range(0, sum(totals) + 1, 5) if total else ():
+                assert s.put(q, n)[1] == sum(x < n for x in ranks)
+            at = 0
+            while at < total:
+                n = min(r.randint(1, 30), total - at)
+                for w, pos, run in s.runs(q, at, n):
+                    for k in range(run):
+                        assert pos + k not in seen and (pos + k) // 16 == w
+                        seen[pos + k] = q
+                at += n
+        assert sorted(seen) == list(range(sum(totals)))
+
+
+@pytest.mark.parametrize("tokens", [10**10, 10**11, 10**13, 10**15])
+@pytest.mark.parametrize("targets", [None, [5.0, 1.0, 3.0, 0.0, 0.1]])
+def test_schedule_is_exact_at_any_size(tokens, targets):
+    totals, window = [tokens // 3, tokens // 3 + 7, tokens // 5, 11, tokens // 10 + 1], 1 << 16
+    s, r = packing.Schedule(totals, targets, window), random.Random(1)
+    whole = sum(totals)
+    for g in [0, 1, *sorted(r.sample(range(whole // window), 300)), whole // window]:
+        rows = [(s.put(q, min(whole, g * window)), s.put(q, min(whole, (g + 1) * window))) for q in range(5)]
+        assert all(a[1] <= z[1] <= t for (a, z), t in zip(rows, totals))
+        assert sum(z[1] - a[1] for a, z in rows) == min(window, whole - g * window)  # full, gapless
+        for q, (a, z) in enumerate(rows):
+            for x in {a[1], z[1] - 1} if z[1] > a[1] else ():
+                assert g * window <= s.rank(q, x) < (g + 1) * window
+        if targets and g < 1000:  # no queue is dry: the window has the targets' shares, but for a token a level
+            assert all(abs((z[1] - a[1]) - window * t / 9.1) <= 4 for (a, z), t in zip(rows, targets))
+    assert [s.put(q, whole)[1] for q in range(5)] == totals
+
+
+def test_packing_of_many_sources(spark):
+    n = 5000
+    d = spark.range(2 * n).selectExpr("id as doc_id", f"concat('text of ', id) as text", f"concat('s', id % {n}) as source").repartition(6)
+    got = packing.pack(d, length=128, window_sequences=16, targets={"s1": 2.0, "s2": 1.0}).collect()
+    taken = sorted((p["sequence_id"] * 128 + p["offset"], p["length"]) for p in got)
+    assert all(a + k == b for (a, k), (b, _) in zip(taken, taken[1:])) and taken[0][0] == 0
+    assert len({p["source_queue"] for p in got}) == n and len({p["doc_id"] for p in got}) == 2 * n
+    aimed = [p for p in got if p["doc_id"] % n in (1, 2)]
+    assert max(p["sequence_id"] * 128 + p["offset"] + p["length"] for p in aimed) == sum(p["length"] for p in aimed)
+
+
 def test_exact_dedup(docs, none):
     data = made()
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
