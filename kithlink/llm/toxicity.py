@@ -1,25 +1,30 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The labelled examples are a bounded sample (`SAMPLE` rows, drawn by a hash, about that many). Terms are the words of a
-text and their beginnings of 3 to 6 letters, so that inflected and compounded words meet, and each of these again at
-every rate (`RATES`) that it reaches in the text, so that a chance hit in a long text isn't taken for a frequent word;
-kept are those whose spread over the two labels is far from chance. Examples and queries are vectors of (1 + ln tf) * idf over these terms, scaled
-to length 1. The index holds postings by term, ordered by block of examples, and the largest weight of each term in
-each block; the blocks of a query are visited by falling upper bound until no further block can reach the k best, so
-the neighbours are exact. Their votes, weighted by closeness, are calibrated by monotone regression on votes for each
-example by the others. Texts without any kept term have the share of such examples that are toxic, pulled to the prior.
-
-Cost: the index has at most SAMPLE examples whatever the corpus, and is all that is broadcast.
-
-Defined cases: null and empty texts have no terms; without labelled rows the score is 0; null labels are no examples;
-a doc_id that `labels` has twice counts once, as toxic if any of its rows is; rows that share a doc_id are scored each
-by itself; an empty table gives no rows; other columns are ignored, or kept by `keep_clean`.
+The labelled examples are a bounded sample (`SAMPLE` rows, drawn by a hash, about that many), of which about `INDEXED` are
+indexed: up to half of them toxic, the others clean, each standing for as many as were drawn for it. A text's vector holds
+all its words that any indexed example has, by (1 + ln tf) * idf and scaled to length 1, and beside them with the weight
+`EXTRA` its marks, scaled alike. Marks are terms whose spread over the sample's labels is far from chance: words, their
+beginnings of 3 to 6 letters, so that inflected and compounded words meet, and each of these again at every rate
+(`RATES`) that it reaches in the text, so that a chance hit in a long text isn't taken for a frequent word. So texts
+with marks are nearest to examples with the same, and texts without any to those with the same words.
+
+The index holds postings by term, ordered by block of examples, and the largest weight of each term in each block. The
+blocks of largest upper bound are scored first, then all whose bound reaches the k best found, so the neighbours are
+exact. Their votes, weighted by closeness, are calibrated by monotone regression on votes for each example by the others,
+between whose steps, 0 and 1 scores are interpolated.
+
+Cost: the index has about INDEXED examples whatever the corpus, and is all that is broadcast.
+
+Defined cases: null and empty texts, and those that share no word with an example, have no neighbours and the share of
+toxic examples as their vote; without labelled rows the score is 0; null labels are no examples; a doc_id that `labels`
+has twice counts once, as toxic if any of its rows is; rows that share a doc_id are scored each by itself; an empty table
+gives no rows; other columns are ignored, or kept by `keep_clean`.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +33,9 @@ from pyspark.sql import functions as F
 
 from kithlink.llm.common import materialise, text_of
 
-SAMPLE, TERMS, NEIGHBOURS, BLOCK, BEGINNINGS = 20_000, 4096, 15, 64, (3, 4, 5, 6)
+SAMPLE, INDEXED, NEIGHBOURS, BLOCK, BEGINNINGS, EXTRA = 20_000, 4000, 15, 64, (3, 4, 5, 6), 2.0
+#: Examples that a term needs to be tried as a mark: with fewer, none can be told from chance.
+TRIED = 4
 #: A term found twice or more, and once in so many words, counts again as a term of that rate.
 RATES = (256, 128, 64)
 EDGES = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»“”„‘’…–—¿¡"
@@ -60,129 +67,206 @@ class Terms:
         return t
 
     def counts(self, text: str) -> dict:
+        return self.of_words(Counter(text.lower().split()))
+
+    def of_words(self, words: Counter) -> dict:
         out: dict = {}
-        known, words = self.words, text.lower().split()
-        for w in words:
+        known, total = self.words, words.total()
+        for w, n in words.items():
             t = known.get(w)
             if t is None:
                 t = self._of(w)
             for x in t:
-                out[x] = out.get(x, 0) + 1
-        out |= {at_rate(x, r): 1 for x, n in out.items() if n > 1 for r in RATES if n * r >= len(words)}
+                out[x] = out.get(x, 0) + n
+        out |= {at_rate(x, r): 1 for x, n in out.items() if n > 1 for r in RATES if n * r >= total}
         v = self.vocabulary
         return out if v is None else {v[x]: n for x, n in out.items() if x in v}
 
 
-def _llr(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
-    """Log-likelihood ratio of a term held by a of na and b of nb examples."""
-    n, k = na + nb, a + b
+def _llr(n_bad: int, n_good: int):
+    """Log-likelihood ratio, as a column, of a term held by `bad` of n_bad and `good` of n_good examples."""
+    n, k = n_bad + n_good, F.col("bad") + F.col("good")
 
     def part(x, e):
-        return np.where(x > 0, x * np.log(np.maximum(x, 1e-12) / np.maximum(e, 1e-12)), 0.0)
+        return F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
+
+    return 2 * (part(F.col("bad"), k * n_bad / n) + part(F.col("good"), k * n_good / n) + part(n_bad - F.col("bad"), (n - k) * n_bad / n) + part(n_good - F.col("good"), (n - k) * n_good / n))
 
-    return 2 * (part(a, k * na / n) + part(b, k * nb / n) + part(na - a, (n - k) * na / n) + part(nb - b, (n - k) * nb / n))
+
+def word_hash(word: str) -> int | None:
+    """What stands for a word in the vectors; none for marks of punctuation alone."""
+    import xxhash
+
+    w = word.strip(EDGES)
+    return xxhash.xxh64_intdigest(w) >> 1 if w else None
 
 
 class Index:
-    """Examples as unit vectors in blocks. vectors: (ids, weights) by example."""
+    """Examples as unit vectors in blocks. vectors: (ids, weights) by example; weigh: how many each stands for."""
 
-    def __init__(self, vectors, labels, names, n_terms: int, block: int = BLOCK):
-        order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1, i))
+    def __init__(self, vectors, labels, names, n_terms: int, block: int = BLOCK, weigh=None):
+        lead = [int(v[0][np.argmax(v[1])]) if len(v[0]) else -1 for v in vectors]
+        order = sorted(range(len(vectors)), key=lambda i: (lead[i], i))  # alike examples share blocks
         self.vectors = [vectors[i] for i in order]
         self.labels = np.array([labels[i] for i in order], dtype=float)
+        self.weigh = np.array([weigh[i] if weigh is not None else 1.0 for i in order], dtype=float)
         self.names = [names[i] for i in order]
         self.block, self.n = block, len(order)
         self.blocks = max(1, -(-self.n // block))
         terms = np.concatenate([v[0] for v in self.vectors] or [np.zeros(0, int)]).astype(np.int64)
-        docs = np.repeat(np.arange(self.n), [len(v[0]) for v in self.vectors]).astype(np.int64)
-        weights = np.concatenate([v[1] for v in self.vectors] or [np.zeros(0)])
+        docs = np.repeat(np.arange(self.n, dtype=np.int32), [len(v[0]) for v in self.vectors])
+        weights = np.concatenate([v[1] for v in self.vectors] or [np.zeros(0)]).astype(float)
         by = np.lexsort((docs, terms))
         self.docs, self.weights, terms = docs[by], weights[by], terms[by]
-        self.starts = np.searchsorted(terms * self.blocks + self.docs // block, np.arange(n_terms * self.blocks + 1))
-        self.most = np.zeros((n_terms, self.blocks))
-        np.maximum.at(self.most, (terms, self.docs // block), self.weights)
+        # Runs of one term in one block: where they begin in the postings, and the largest weight in them.
+        run = terms * self.blocks + self.docs // block
+        first = np.flatnonzero(np.r_[len(run) > 0, run[1:] != run[:-1]]) if len(run) else np.zeros(0, np.int64)
+        self.run_at = np.append(first, len(run)).astype(np.int64)
+        self.run_block = (run[first] % self.blocks).astype(np.int32)
+        self.run_most = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        self.term_at = np.searchsorted(terms[first], np.arange(n_terms + 1))
+
+    @staticmethod
+    def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """All places of the ranges of n from start."""
+        ends = np.cumsum(n)
+        return np.repeat(start - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+
+    def _scores(self, runs: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        start = self.run_at[runs]
+        n = self.run_at[runs + 1] - start
+        held = self._spread(start, n)
+        return np.bincount(self.docs[held], np.repeat(weights, n) * self.weights[held], self.n)
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine; ties go to earlier examples."""
-        bound = weights @ self.most[ids]
-        best_s, best_d, floor = np.zeros(0), np.zeros(0, dtype=np.int64), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best_s) >= k and bound[b] < floor - 1e-12:
-                break
-            at = ids * self.blocks + b
-            start, n = self.starts[at], self.starts[at + 1] - self.starts[at]
-            held = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
-            scores = np.bincount(self.docs[held] - b * self.block, np.repeat(weights, n) * self.weights[held], self.block)
-            hit = np.flatnonzero(scores > 0)
-            hit = hit[hit + b * self.block != without]
-            s, d = np.concatenate([best_s, np.round(scores[hit], 12)]), np.concatenate([best_d, hit + b * self.block])
-            top = np.lexsort((d, -s))[:k]
-            best_s, best_d = s[top], d[top]
-            floor = best_s[-1] if len(best_s) >= k else 0.0
-        return best_d, best_s
-
-
-def monotone(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]]:
-    """Monotone regression of y on x by pooling: steps as (least x, value)."""
-    order = np.argsort(x, kind="stable")
+        start = self.term_at[ids]
+        n = self.term_at[ids + 1] - start
+        runs, w = self._spread(start, n), np.repeat(weights, n)
+        if not len(runs):
+            return np.zeros(0, np.int64), np.zeros(0)
+        at = self.run_block[runs]
+        bound = np.bincount(at, w * self.run_most[runs], self.blocks)
+        # The blocks of largest bound, some more than k examples, set the floor that other blocks have to reach.
+        seeds = min(self.blocks, 2 + k // self.block)
+        first = np.zeros(self.blocks, bool)
+        first[np.argpartition(-bound, seeds - 1)[:seeds]] = True
+        mine = first[at]
+        scores = self._scores(runs[mine], w[mine])
+        if without >= 0:
+            scores[without] = 0.0
+        floor = np.partition(scores, self.n - k)[self.n - k] if self.n > k else 0.0
+        mine = (~first & (bound > 0) & (bound >= floor - 1e-9))[at]
+        if mine.any():
+            more = self._scores(runs[mine], w[mine])
+            if without >= 0:
+                more[without] = 0.0
+            scores += more  # an example is in one block: one of both is 0
+        scores = np.round(scores, 12)
+        hit = np.flatnonzero(scores > max(0.0, floor - 1e-9) if floor > 0 else scores > 0)
+        top = hit[np.lexsort((hit, -scores[hit]))[:k]]
+        return top, scores[top]
+
+
+def monotone(x: np.ndarray, y: np.ndarray, weigh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Monotone regression of y on x by pooling: (mean x, mean y) of the pools, drawn a little to the mean of all."""
+    values, which = np.unique(x, return_inverse=True)
+    sums, ns = np.bincount(which, weigh * y, len(values)), np.bincount(which, weigh, len(values))
     pools: list[list[float]] = []
-    for xi, yi in zip(x[order].tolist(), y[order].tolist()):
-        if pools and pools[-1][3] == xi:
-            pools[-1][1] += yi
-            pools[-1][2] += 1
-        else:
-            pools.append([xi, yi, 1, xi])
+    for at, b, n in zip(values.tolist(), sums.tolist(), ns.tolist()):
+        pools.append([n * at, b, n])
         while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
-            x2, y2, n2, last = pools.pop()
-            pools[-1][1] += y2
-            pools[-1][2] += n2
-            pools[-1][3] = last
-    return [p[0] for p in pools], [(p[1] + 0.5 * (p[1] / p[2])) / (p[2] + 0.5) for p in pools]
+            last = pools.pop()
+            pools[-1] = [u + v for u, v in zip(pools[-1], last)]
+    mean = float((y * weigh).sum() / weigh.sum()) if len(y) else 0.0
+    return np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + 0.5 * mean) / (p[2] + 0.5) for p in pools])
 
 
 class Scorer:
-    def __init__(self, counts: list[dict], labels: list[int], names: list, vocabulary: dict[str, int], df: np.ndarray, k: int = NEIGHBOURS):
-        self.vocabulary, self.k = vocabulary, k
-        n = len(counts)
-        self.idf = np.log((1 + n) / (1 + df)) + 1 if len(vocabulary) else np.zeros(0)
-        vectors = [self.vector(c) for c in counts]
-        full = [i for i in range(n) if len(vectors[i][0])]
-        self.prior = float(np.mean(labels)) if n else 0.0
-        bare = [labels[i] for i in range(n) if not len(vectors[i][0])]
-        self.bare = (sum(bare) + self.prior) / (len(bare) + 1)
-        self.index = Index([vectors[i] for i in full], [labels[i] for i in full], [names[i] for i in full], max(1, len(vocabulary)))
-        votes: dict = {}  # examples of the same vector and label have the same neighbours but for themselves
-        for i, (ids, w) in enumerate(self.index.vectors):
-            alike = ids.tobytes(), w.tobytes(), self.index.labels[i]
-            votes.setdefault(alike, []).append(i)
-        raw = np.zeros(self.index.n)
-        for same in votes.values():
-            raw[same] = self.vote(*self.index.vectors[same[0]], without=same[0])[0]
-        self.steps, self.values = monotone(raw, self.index.labels) if len(full) >= 20 else ([0.0], [self.prior])
-        self.remembered: dict = {}
-
-    def vector(self, counts: dict) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(sorted(counts), dtype=np.int64)
-        w = np.array([1 + math.log(counts[i]) for i in ids.tolist()]) * (self.idf[ids] if len(ids) else 1)
-        return ids, w / (np.sqrt((w * w).sum()) or 1.0)
+    """marks: the marks' names to ids, words: the words' hashes to the ids after these."""
+
+    def __init__(self, examples: list[tuple], marks: dict[str, int], k: int = NEIGHBOURS, extra: float = EXTRA):
+        """examples: (name, label, how many it stands for, counts by mark, counts by word hash)."""
+        self.k, self.extra, self.marks = k, extra, marks
+        self.words: dict[int, int] = {}
+        for e in examples:
+            for h in sorted(e[4]):
+                self.words.setdefault(h, len(marks) + len(self.words))
+        n = len(examples)
+        df = np.zeros(len(marks) + len(self.words))
+        for e in examples:
+            df[list(e[3])] += 1
+            df[[self.words[h] for h in e[4]]] += 1
+        self.idf = np.log((1 + n) / (1 + df)) + 1
+        vectors = [self.vector(e[3], {self.words[h]: c for h, c in e[4].items()}) for e in examples]
+        weigh = np.array([e[2] for e in examples], dtype=float)
+        self.prior = float(sum(e[1] * e[2] for e in examples) / weigh.sum()) if n else 0.0
+        self.index = Index(vectors, [e[1] for e in examples], [e[0] for e in examples], len(df), weigh=weigh)
+        self.at, self.values = np.zeros(1), np.array([self.prior])
+
+    def calibrate(self, raw: np.ndarray) -> None:
+        """raw: the vote for each example of the index by the others."""
+        if len(raw):
+            at, values = monotone(raw, self.index.labels, self.index.weigh)
+            self.at, self.values = np.r_[0.0, at, 1.0], np.r_[0.0, values, 1.0]
+        self.index.vectors = []  # the postings hold them too
+
+    def vector(self, marks: dict[int, int], words: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Of ids ascending; marks come first."""
+        parts = []
+        for counts, weight in ((marks, self.extra), (words, 1.0)):
+            ids = np.array(sorted(counts), dtype=np.int64)
+            w = (1 + np.log(np.array([counts[i] for i in ids.tolist()], dtype=float))) * self.idf[ids] if len(ids) else np.zeros(0)
+            parts.append((ids, w * (weight / (math.sqrt(float(w @ w)) or 1.0))))
+        w = np.concatenate([p[1] for p in parts])
+        return np.concatenate([p[0] for p in parts]), w / (math.sqrt(float(w @ w)) or 1.0)
 
     def vote(self, ids: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float, list]:
         d, s = self.index.nearest(ids, weights, self.k, without)
         if not len(d):
             return self.prior, []
-        w = 1 / (1.05 - np.minimum(s, 1.0))
-        return float((w * self.index.labels[d]).sum() / w.sum()), [self.index.names[i] for i in d[:3].tolist()]
-
-    def score(self, counts: dict) -> tuple[float, list]:
-        if not counts:
-            return min(max(self.bare, 0.0), 1.0), []
-        key = tuple(sorted(counts.items()))
-        if key not in self.remembered:
-            if len(self.remembered) > 50_000:
-                self.remembered.clear()
-            raw, evidence = self.vote(*self.vector(counts))
-            self.remembered[key] = min(max(self.values[max(0, bisect_right(self.steps, raw) - 1)], 0.0), 1.0), evidence
-        return self.remembered[key]
+        w = self.index.weigh[d] / (1.05 - np.minimum(s, 1.0))
+        # The prior votes too, so that among texts without toxic neighbours those with closer ones score lower.
+        return float(((w * self.index.labels[d]).sum() + self.prior) / (w.sum() + 1)), [self.index.names[i] for i in d[:3].tolist()]
+
+    def vote_without(self, i: int) -> float:
+        return self.vote(*self.index.vectors[i], without=i)[0]
+
+    def score(self, marks: dict[int, int], words: dict[int, int]) -> tuple[float, list]:
+        raw, evidence = self.vote(*self.vector(marks, words))
+        return min(max(float(np.interp(raw, self.at, self.values)), 0.0), 1.0), evidence
+
+
+class Reader:
+    """Scores texts; what a word stands for and what a text has come to are remembered, up to a bound."""
+
+    def __init__(self, scorer: Scorer, remembered: int = 200_000):
+        self.scorer, self.remembered, self.marks = scorer, remembered, Terms(scorer.marks, remembered)
+        self.ids: dict[str, int | None] = {}
+        self.known: dict[int, tuple] = {}
+
+    def counts(self, text: str) -> tuple[dict[int, int], dict[int, int]]:
+        words, known, out = Counter(text.lower().split()), self.ids, {}
+        for w, n in words.items():
+            if w in known:
+                i = known[w]
+            else:
+                if len(known) >= self.remembered:
+                    known.clear()
+                i = known[w] = self.scorer.words.get(word_hash(w))
+            if i is not None:
+                out[i] = out.get(i, 0) + n
+        return self.marks.of_words(words), out
+
+    def score(self, text: str) -> tuple[float, list]:
+        import xxhash
+
+        key = xxhash.xxh3_128_intdigest(text)
+        if key not in self.known:
+            if len(self.known) >= 20_000:
+                self.known.clear()
+            self.known[key] = self.scorer.score(*self.counts(text))
+        return self.known[key]
 
 
 def train_labels(spark: SparkSession, sf_dir: str, sample: int = SAMPLE) -> DataFrame:
@@ -199,10 +283,11 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, terms: int = TERMS) -> Scorer:
-    """docs (doc_id, text); labels (doc_id, toxic), bounded. Driver: counts of kept terms of the examples."""
+def fit(docs: DataFrame, labels: DataFrame, *, indexed: int = INDEXED) -> Scorer:
+    """docs (doc_id, text); labels (doc_id, toxic), bounded. Driver: the marks, and the counts of the indexed examples."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(labels), "doc_id")
-    rows = materialise(rows, "toxicity-examples")
+    rows = materialise(rows.withColumn("toxic", (F.col("toxic") != 0).cast("int")), "toxicity-examples")
 
     def count(batches):
         seen = Terms(remembered=100_000)
@@ -222,35 +307,56 @@ def fit(docs: DataFrame, labels: DataFrame, *, terms: int = TERMS) -> Scorer:
         if sums:
             yield out()
 
-    n_bad, n_good = (int(x or 0) for x in rows.agg(F.sum(F.when(F.col("toxic") != 0, 1).otherwise(0)), F.sum(F.when(F.col("toxic") == 0, 1).otherwise(0))).first())
+    n_bad, n_good = (int(x or 0) for x in rows.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
     held = rows.select("text", "toxic").mapInArrow(count, "term string, bad long, good long")
-    held = held.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad + good >= 4")
-    # Only terms that can reach the bar go on; the bar rises with the number of terms tried.
-    n = max(1, n_bad + n_good)
-    rate = max(n_bad, 1) / n
+    held = held.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(f"bad + good >= {TRIED}")
     held = materialise(held, "toxicity-terms")
-    tried = held.count()
-    lead = held.where(F.col("bad") / (F.col("bad") + F.col("good")) > min(0.5, 2 * rate)).orderBy(F.desc("bad"), "term").limit(16 * terms).collect()
-    a, b = (np.array([r[x] for r in lead], dtype=float) for x in ("bad", "good"))
-    gain = _llr(a, b, max(n_bad, 1), max(n_good, 1)) if len(lead) else np.zeros(0)
-    bar = 2 * math.log(max(tried, 2)) + 4
-    chosen = sorted((i for i in range(len(lead)) if gain[i] >= bar), key=lambda i: (-gain[i], lead[i]["term"]))[:terms]
-    vocabulary = {lead[i]["term"]: k for k, i in enumerate(chosen)}
-    df = np.array([a[i] + b[i] for i in chosen])
-
-    def vectors(batches):
-        seen = Terms(vocabulary)
+    # The bar rises with the number of terms tried.
+    bar, rate = 2 * math.log(max(held.count(), 2)) + 4, max(n_bad, 1) / max(1, n_bad + n_good)
+    marked = held.where(F.col("bad") / (F.col("bad") + F.col("good")) > min(0.5, 2 * rate)).where(_llr(max(n_bad, 1), max(n_good, 1)) >= bar)
+    marks = {t: i for i, t in enumerate(sorted(r["term"] for r in marked.select("term").collect()))}  # each needs several of SAMPLE rows
+
+    take_bad = min(1.0, indexed / 2 / max(n_bad, 1))
+    take_good = min(1.0, (indexed - take_bad * n_bad) / max(n_good, 1))
+    drawn = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 30)) < F.when(F.col("toxic") == 1, take_bad).otherwise(take_good) * (1 << 30)
+
+    def counts(batches):
+        seen = Terms(marks)
         for b in batches:
-            cs = [seen.counts(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([list(c) for c in cs], pa.list_(pa.int32())), pa.array([list(c.values()) for c in cs], pa.list_(pa.int32()))],
-                names=["doc_id", "toxic", "terms", "counts"],
-            )
+            cs, ws = [], []
+            for t in b.column(1):
+                words = Counter(t.as_py().lower().split())
+                cs.append(seen.of_words(words))
+                hashed: dict = {}
+                for w, n in words.items():
+                    if (h := word_hash(w)) is not None:
+                        hashed[h] = hashed.get(h, 0) + n
+                ws.append(hashed)
+            arrays = [pa.array([list(f(c)) for c in x], pa.list_(kind)) for x, kind in ((cs, pa.int64()), (ws, pa.int64())) for f in (dict.keys, dict.values)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *arrays], names=["doc_id", "toxic", "marks", "marked", "words", "counts"])
+
+    examples = rows.where(drawn).select("doc_id", "text", "toxic").mapInArrow(counts, "doc_id long, toxic int, marks array<bigint>, marked array<bigint>, words array<bigint>, counts array<bigint>")
+    got = examples.toArrow()  # about INDEXED rows
+    stands = {1: 1 / take_bad, 0: 1 / take_good if take_good else 1.0}
+    found = []
+    for r in (got.slice(i, 1).to_pydict() for i in range(got.num_rows)):
+        words = dict(zip(r["words"][0], r["counts"][0]))
+        if words:
+            found.append((r["doc_id"][0], r["toxic"][0], stands[r["toxic"][0]], dict(zip(r["marks"][0], r["marked"][0])), words))
+    found.sort(key=lambda e: (sorted(e[3].items()), sorted(e[4].items()), e[1], e[0]))  # ties are broken by what the texts hold
+    scorer = Scorer(found, marks)
+    shared = spark.sparkContext.broadcast(scorer)
+
+    def votes(batches):
+        s = shared.value
+        for b in batches:
+            at = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.vote_without(i) for i in at], pa.float64())], names=["id", "raw"])
 
-    examples = rows.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>")
-    got = sorted((r["doc_id"], int(r["toxic"] != 0), tuple(sorted(zip(r["terms"], r["counts"])))) for r in examples.collect())  # SAMPLE rows
-    got.sort(key=lambda r: (r[2], r[1], r[0]))  # ties are broken by what the texts hold, then alike texts by doc_id
-    return Scorer([dict(g[2]) for g in got], [g[1] for g in got], [g[0] for g in got], vocabulary, df)
+    n = scorer.index.n
+    raw = {r["id"]: r["raw"] for r in spark.range(0, n, 1, max(1, min(24, n // 100))).mapInArrow(votes, "id long, raw double").collect()}
+    scorer.calibrate(np.array([raw[i] for i in range(n)]))
+    return scorer
 
 
 SCORES = "doc_id long, score double, predicted int, evidence array<bigint>"
@@ -260,10 +366,9 @@ def _scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches):
-        s = shared.value
-        seen = Terms(s.vocabulary)
+        reader = Reader(shared.value)
         for b in batches:
-            got = [s.score(seen.counts(t.as_py())) for t in b.column(1)]
+            got = [reader.score(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([int(g[0] >= 0.5) for g in got], pa.int32()), pa.array([g[1] for g in got], pa.list_(pa.int64()))],
                 names=["doc_id", "score", "predicted", "evidence"],
@@ -283,9 +388,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        s = shared.value
-        seen = Terms(s.vocabulary)
+        reader = Reader(shared.value)
         for b in batches:
-            yield b.filter(pa.array([s.score(seen.counts(t.as_py() or ""))[0] < 0.5 for t in b.column(at)], pa.bool_()))
+            yield b.filter(pa.array([reader.score(t.as_py() or "")[0] < 0.5 for t in b.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -523,6 +523,74 @@ def test_toxicity(spark, none):
     assert kept.columns == docs.columns and kept.count() == sum(x["predicted"] == 0 for x in got.values())
 
 
+def test_scores_against_brute_force(spark):
+    """Every step from the texts on, in dense arithmetic, on 300 documents; repeated rows, long texts, clashing columns."""
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    data = []
+    for i in range(300):
+        w = [r.choice(words[: 40 if r.random() < 0.5 else 400]) for _ in range(r.choice([5, 60, 60, 200]))]
+        if i % 5 == 0:
+            w[2] = w[4] = "vile" + r.choice(["", "s", "ness"])
+        data.append((i, " ".join(w), int(i % 5 == 0 or r.random() < 0.03)))
+    data += [(300, "vile " * 50_000, 1), (301, "w1 " * 50_000 + "vile", 0), (302, data[7][1], 0), (303, data[10][1], 1)]
+    texts = [(a, b, 1.0, "x", 7) for a, b, _ in data] + [(a, b, 2.0, "x", 7) for a, b, _ in data[:9]] + [(900, "unseen words alone", 0.0, "x", 7), (901, "", 0.0, "x", 7), (902, None, 0.0, "x", 7)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, score double, evidence string, predicted int").repartition(3)
+    labels = spark.createDataFrame([(a, c) for a, _, c in data if zlib.crc32(str(a).encode()) % 5], "doc_id long, toxic int")
+    scorer = toxicity.fit(df, labels)
+    assert "vile*" in scorer.marks or "vile" in scorer.marks
+    got = sorted((x["doc_id"], x["score"], x["evidence"]) for x in toxicity.score(df, labels).collect())
+
+    known = {a: c for a, _, c in data if zlib.crc32(str(a).encode()) % 5}
+    rows = [(a, known[a], b) for a, b, *_ in texts if a in known]
+    mark = toxicity.Terms(scorer.marks)
+    plain = [(dict(mark.counts(t or "")), Counter(x for w in (t or "").lower().split() if (x := w.strip(toxicity.EDGES)))) for *_, t in rows]
+    vocabulary = sorted({w for _, c in plain for w in c})
+    n, nm = len(rows), len(scorer.marks)
+    idf = lambda held: np.log((1 + n) / (1 + np.array(held))) + 1
+    im, iw = idf([sum(k in m for m, _ in plain) for k in range(nm)]), idf([sum(w in c for _, c in plain) for w in vocabulary])
+
+    def dense(m, c):
+        x = np.array([(1 + np.log(m[k])) if k in m else 0.0 for k in range(nm)]) * im
+        y = np.array([(1 + np.log(c[w])) if w in c else 0.0 for w in vocabulary]) * iw
+        unit = lambda v: v / (np.linalg.norm(v) or 1.0)
+        return unit(np.concatenate([toxicity.EXTRA * unit(x), unit(y)]))
+
+    matrix, y = np.stack([dense(*p) for p in plain]), np.array([c for _, c, _ in rows])
+    prior = y.mean()
+
+    def vote(v, without=-1):
+        s = matrix @ v
+        if without >= 0:
+            s[without] = 0
+        ties = np.sort(np.round(s, 9))[::-1][: toxicity.NEIGHBOURS + 1]
+        near = [i for i in np.argsort(-s, kind="stable")[: toxicity.NEIGHBOURS] if s[i] > 1e-12]
+        if not near:
+            return prior, True
+        w = 1 / (1.05 - np.minimum(s[near], 1))
+        return ((w * y[near]).sum() + prior) / (w.sum() + 1), len(near) < toxicity.NEIGHBOURS or ties[-1] < ties[-2]
+
+    at, values = toxicity.monotone(np.array([vote(matrix[i], i)[0] for i in range(n)]), y.astype(float), np.ones(n))
+    at, values = np.r_[0, at, 1], np.r_[0, values, 1]
+    sure = 0
+    for (doc_id, score, evidence), (_, t) in zip(got, sorted((a, b or "") for a, b, *_ in texts)):
+        v, certain = vote(dense(mark.counts(t), Counter(x for w in t.lower().split() if (x := w.strip(toxicity.EDGES)))))
+        sure += certain
+        assert not certain or abs(score - np.interp(v, at, values)) < 0.02, doc_id  # ties among examples move steps a little
+        assert (not evidence) == (doc_id >= 900)
+    assert sure > 250 and len({round(s, 9) for _, s, _ in got}) > 100
+    assert [s for d, s, _ in got if d == 303][0] > 0.5 > [s for d, s, _ in got if d == 302][0]
+
+
+def test_votes_weigh_closeness_and_calibrate_monotonely():
+    at, values = toxicity.monotone(np.array([0.1, 0.2, 0.2, 0.5, 0.9]), np.array([0.0, 1.0, 0.0, 0.0, 1.0]), np.ones(5))
+    assert list(at) == sorted(at) and list(values) == sorted(values) and len(at) == 3 and values[1] < 0.5
+    near, far = {0: 5}, {1: 5}
+    s = toxicity.Scorer([(1, 1, 1.0, {}, near), (2, 0, 1.0, {}, {0: 1, 1: 1}), (3, 0, 3.0, {}, far)], {})
+    assert s.vote(*s.vector({}, {s.words[0]: 5}))[0] > 0.7 and s.vote(*s.vector({}, {s.words[1]: 5}))[0] < 0.2
+    assert s.vote(*s.vector({}, {})) == (s.prior, []) and s.prior == 0.2
+
+
 PAGE = (
     "<!DOCTYPE html><html><head><title>t</title></head><body class='page'><header><h2>Site</h2></header><nav><ul><li><a href='/'>Home</a></li><li><a>News</a></li></ul></nav>"
     "<div class='cookie-notice'>We use cookies</div><{main}><h1>Title {n} &amp; more</h1>{body}<aside>See also</aside><section class='comments'><p>Nice!</p></section></{main}>"
