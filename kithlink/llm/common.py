@@ -56,6 +56,12 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns named c0, c1, ... so that none clashes with an operator's own, and the new name of each."""
+    names = {c: f"c{i}" for i, c in reversed(list(enumerate(docs.columns)))}
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), names
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 

@@ -2,23 +2,26 @@
 
 A line's key is the line without white space at its ends, ASCII lower case; two independent 64-bit hashes stand for it.
 Keys that are long enough and lie in enough documents are heavy. Their occurrences go through an index of sorted runs
-in batches of descending doc_id: each batch merge-anti-joins the runs for the keys that no larger document holds, which
-are the batch's own and become a new sorted run; any other occurrence is a repetition. Runs of one level are merged
-into one of the next when there are `FANOUT` of them, so a batch meets few runs. The runs (`LineIndex`) stay usable:
-later tables can be held against them.
+in batches of descending doc_id and about as many rows each: each batch merge-anti-joins the runs for the keys that no
+larger document holds, which are the batch's own and become a new sorted run; any other occurrence is a repetition. Runs
+of one level are merged into one of the next when there are `FANOUT` of them, so a batch meets few runs. A run is a table
+bucketed by key and sorted in its buckets, which a merge join reads as it lies: only the batch is shuffled, once for all
+runs. The runs (`LineIndex`) stay usable: later tables can be held against them.
 
 Defined cases: null and empty texts are one empty line; a text that loses all lines becomes empty; rows that share a
 doc_id count as one document and lose the same lines; a line twice in one document counts once and both stay or go;
 rows with a null doc_id keep all lines and count for nothing; an empty table gives no rows. Extra columns are ignored
-by `line_stats` and `dropped_keys` and kept by `drop_lines`.
+by `line_stats` and `dropped_keys` and kept by `drop_lines`, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithlink.llm.common import SPACES, ascii_lower, materialise, text_of
+from kithlink.llm.common import SPACES, ascii_lower, materialise, numbered, scratch, text_of
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 2
 
@@ -40,17 +43,21 @@ class LineIndex:
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout, self.levels = spark, fanout, [[]]
+        self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
 
     def unseen(self, keys: DataFrame) -> DataFrame:
         for r in self.runs():
-            keys = keys.join(r.select("a", "b"), ["a", "b"], "left_anti")
+            keys = keys.join(r.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
         return keys
 
     def _sorted(self, rows: DataFrame, level: int) -> DataFrame:
-        return materialise(rows.repartitionByRange("a", "b").sortWithinPartitions("a", "b"), f"lines-run{level}")
+        name = f"kithlink_lines_{uuid.uuid4().hex}"
+        dealt = rows.select("a", "b", "keeper").repartition(self.buckets, "a", "b")  # a file for each bucket
+        dealt.write.bucketBy(self.buckets, "a", "b").sortBy("a", "b").option("path", scratch(self.spark, f"lines-run{level}")).saveAsTable(name)
+        return self.spark.table(name)
 
     def add(self, batch: DataFrame) -> None:
         """batch (a, b, doc_id): its unseen keys become a run, kept by the batch's largest document."""
@@ -86,12 +93,14 @@ def dropped_keys(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int =
     heavy = materialise(distinct.groupBy("a", "b").agg(F.count("*").alias("n")).where(f"n >= {min_docs}").select("a", "b"), "lines-heavy")
     j = F.xxhash64("b", "a").alias("j")
     occurrences = materialise(distinct.select("a", "b", "doc_id", j).join(heavy.select("a", "b", j), ["a", "b", "j"]).select("a", "b", "doc_id"), "lines-occurrences")
-    lo, hi = occurrences.agg(F.min("doc_id"), F.max("doc_id")).first()
+    cuts = occurrences.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
     index = LineIndex(docs.sparkSession, fanout)
-    if lo is not None:
-        step = (hi - lo) // batches + 1
-        for k in range(batches - 1, -1, -1):
-            index.add(occurrences.where(F.col("doc_id").between(lo + k * step, lo + (k + 1) * step - 1)))
+    if cuts is not None:
+        above = None
+        for cut in [*sorted(set(cuts), reverse=True), None]:
+            part = occurrences if cut is None else occurrences.where(F.col("doc_id") > cut)
+            index.add(part if above is None else part.where(F.col("doc_id") <= above))
+            above = cut
     again = occurrences.join(index.all(), ["a", "b"]).where("doc_id <> keeper")
     return again.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("drops"))
 
@@ -103,17 +112,19 @@ def _kept(drops: str = "drops") -> Column:
 
 
 def _joined(docs: DataFrame, **options) -> DataFrame:
-    return docs.join(dropped_keys(docs, **options).withColumnsRenamed({"doc_id": "__doc", "drops": "__drops"}), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    """docs (doc_id, text, and columns that don't clash) with __drops."""
+    return docs.join(dropped_keys(docs.select("doc_id", "text"), **options).withColumnsRenamed({"doc_id": "__doc", "drops": "__drops"}), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
 
 
 def drop_lines(docs: DataFrame, **options) -> DataFrame:
     """docs with the lines gone and n_chars, if there is one, put right."""
-    rows = _joined(docs, **options)
+    plain, names = numbered(docs)
+    rows = _joined(plain.withColumnsRenamed({names["doc_id"]: "doc_id", names["text"]: "text"}), **options)
     new = F.when(F.col("__drops").isNull(), F.col("text")).otherwise(F.array_join(_kept("__drops"), "\n"))
-    rows = rows.withColumn("text", new)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__drops").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.select(*docs.columns)
+    rows = rows.withColumn("text", new).withColumnsRenamed({"doc_id": names["doc_id"], "text": names["text"]})
+    if n := names.get("n_chars"):
+        rows = rows.withColumn(n, F.when(F.col("__drops").isNull(), F.col(n)).otherwise(F.length(names["text"]).cast(docs.schema["n_chars"].dataType)))
+    return rows.select(*plain.columns).toDF(*docs.columns)
 
 
 def line_stats(docs: DataFrame, **options) -> DataFrame:

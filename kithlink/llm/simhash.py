@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kithlink.llm.common import materialise, text_of
+from kithlink.llm.common import materialise, numbered, text_of
 from kithlink.llm.components import components
 
 SHINGLE, SEED, MAX_BITS, PIVOTS, BUCKET = 4, 42, 4, 32, 512
@@ -203,13 +203,19 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, groups=near_groups) -> DataFrame:
-    """One row of each group: that of the smallest doc_id. Rows without doc_id stay."""
-    seen = materialise(groups(docs), "simhash-groups")
+    """One row of each group: that of the smallest doc_id. Rows without doc_id stay.
+
+    Rows that share a doc_id are one document: it goes if any of them has a smaller doc_id in its group, else the row stays
+    that comes first by its text, then by its columns as JSON. Extra columns are kept, whatever their names."""
+    plain, names = numbered(docs)
+    doc, text = names["doc_id"], names["text"]
+    seen = materialise(groups(plain.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))), "simhash-groups")
     drop = seen.where("doc_id <> component_id").select(F.col("doc_id").alias("__doc")).distinct()
-    kept = docs.join(drop, F.col("doc_id") == F.col("__doc"), "left_anti")
-    again = seen.where("doc_id is not null and doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    again = materialise(again.select(F.col("doc_id").alias("__doc")), "simhash-again")
-    if again.isEmpty():
-        return kept
-    same = F.col("doc_id") == F.col("__doc")
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    kept = plain.join(drop, F.col(doc) == F.col("__doc"), "left_anti")
+    again = seen.where("doc_id is not null").groupBy(F.col("doc_id").alias("__doc")).agg(F.count("*").alias("n")).where("n > 1")
+    again = materialise(again.select("__doc"), "simhash-again")
+    if not again.isEmpty():
+        same, row = F.col(doc) == F.col("__doc"), F.struct(*plain.columns)
+        first = kept.join(again, same, "left_semi").groupBy(doc).agg(F.min_by(row, F.struct(F.col(text), F.to_json(row))).alias("__row"))
+        kept = kept.join(again, same, "left_anti").unionByName(first.select("__row.*"))
+    return kept.toDF(*docs.columns)

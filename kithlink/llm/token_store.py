@@ -3,11 +3,13 @@
 Documents are dealt by ranges of doc_id into shards, encoded, and cut into chunks of whole documents. A chunk's ids
 are cut into fixed-size blocks; each block is transposed into bit or byte planes; the blocks' parts of one plane stand
 together and are compressed with zstandard. A chunk is one self-describing byte string (`pack_ids`) in a Parquet row
-beside its documents; Spark's committed writer makes the files, so a task run twice leaves one copy. The chunk index
-(`chunk_index`) has what a reader needs to seek: shard, chunk, ids before it, ids, first and last doc_id, bytes.
+beside its documents; Spark's committed writer makes the files, so a task run twice leaves one copy. The chunk index, a
+table of its own beside the chunks, has what a reader needs to seek: shard, chunk, the store's ids before the shard and
+before the chunk, ids, first and last doc_id, bytes.
 
 Defined cases: null text is an empty text, whose ids are the end id alone; null doc_ids sort first; rows that share a
-doc_id keep their own ids and stand by text; an empty table gives an empty store; other columns are ignored.
+doc_id keep their own ids and stand by a hash of their text, then as they were read, so that even one doc_id of a third of
+all rows is dealt to many shards; an empty table gives an empty store; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from kithlink.llm.common import text_of
 
 MAGIC, BLOCK, CHUNK_IDS = b"KLP1", 4096, 1 << 18
 CHUNKS = "shard int, chunk int, ids_before long, n_ids long, doc_ids array<bigint>, doc_lens array<bigint>, payload binary"
+INDEX = "shard int, chunk int, base long, ids_before long, n_ids long, first_doc_id long, last_doc_id long, n_bytes int"
 
 
 def _planes(ids: np.ndarray, width: int, mode: str, block: int) -> np.ndarray:
@@ -103,19 +106,23 @@ def write_store(docs: DataFrame, path: str, *, end_id: int = 0, mode: str = "byt
         if ids:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, CHUNKS).write.parquet(path)
+    order = ["doc_id", "h", "at"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumns({"h": F.xxhash64("text"), "at": F.monotonically_increasing_id()})
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(encode, CHUNKS).write.parquet(f"{path}/chunks")
+    spark = docs.sparkSession
+    c = spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
+    shards = c.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    base = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))  # a row per shard
+    index = c.join(F.broadcast(base), "shard")  # no more rows than the write had tasks
+    index.select(
+        "shard", "chunk", "base", "ids_before", "n_ids", F.get("doc_ids", F.lit(0)).alias("first_doc_id"),
+        F.get("doc_ids", F.size("doc_ids") - 1).alias("last_doc_id"), F.length("payload").alias("n_bytes"),
+    ).write.parquet(f"{path}/index")
 
 
 def chunk_index(spark: SparkSession, path: str) -> DataFrame:
-    """Where each chunk lies, with the ids of all documents before it in the whole store. No payload is read."""
-    c = spark.read.schema(CHUNKS).parquet(path)
-    shards = c.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    base = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))  # a row per shard
-    return c.join(base, "shard").select(
-        "shard", "chunk", (F.col("base") + F.col("ids_before")).alias("start"), "n_ids",
-        F.array_min("doc_ids").alias("first_doc_id"), F.array_max("doc_ids").alias("last_doc_id"),
-    )
+    """The stored index: where each chunk lies, with the ids of all documents before it in the whole store."""
+    return spark.read.schema(INDEX).parquet(f"{path}/index").withColumn("start", F.col("base") + F.col("ids_before"))
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -135,7 +142,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    c = spark.read.schema(CHUNKS).parquet(path).select("shard", "chunk", "doc_ids", "doc_lens", "payload")
-    at = chunk_index(spark, path).select("shard", "chunk", "start")
-    rows = c.join(at, ["shard", "chunk"]).select("start", "doc_ids", "doc_lens", "payload")
+    c = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").select("shard", "ids_before", "doc_ids", "doc_lens", "payload")
+    base = F.broadcast(chunk_index(spark, path).where("chunk = 0").select("shard", "base"))  # no more rows than the write had tasks
+    rows = c.join(base, "shard").select((F.col("base") + F.col("ids_before")).alias("start"), "doc_ids", "doc_lens", "payload")
     return rows.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -167,6 +167,36 @@ def test_line_dedup(docs, none):
     assert line_dedup.line_stats(none).collect() == [] and line_dedup.drop_lines(none).columns == none.columns
     kept = line_dedup.drop_lines(docs)
     assert kept.columns == docs.columns and kept.count() == len(data)
+    odd = docs.withColumnsRenamed({"h": "__doc", "kept": "__drops", "__t": "drops", "queue": "c0"})
+    kept = line_dedup.drop_lines(odd)
+    assert kept.columns == odd.columns and kept.schema == odd.schema
+    assert rows(kept, "doc_id", "text", "__doc") == sorted(((w[0], w[3] if w[2] else r[1], "h") for w, r in zip(want, data)), key=repr)
+
+
+def test_batches_are_merged_with_the_runs_as_they_lie(spark):
+    """One outlying doc_id doesn't put all rows in one batch; the anti-join is a merge join that shuffles no run."""
+    index = line_dedup.LineIndex(spark)
+    batch = lambda lo, hi: spark.range(lo, hi).selectExpr("id div 3 as a", "id div 3 as b", "id as doc_id")
+    index.add(batch(0, 300))
+    unseen = index.unseen(batch(150, 600).groupBy("a", "b").count())
+    assert unseen.count() == 100
+    plan = unseen._jdf.queryExecution().toString()
+    plan = plan[plan.index("== Physical Plan =="):]
+    join = plan[plan.index("SortMergeJoin"):]
+    assert "LeftAnti" in join.split("\n")[0] and "BroadcastHashJoin" not in plan
+    run = join[: join.index("FileScan")].split("\n") if join.index("FileScan") > join.index("Exchange") else []
+    assert "Exchange" not in "\n".join(run[-4:]) and "Bucketed: true" in plan
+    line = "a line that is long enough to count as one of them here"
+    d = spark.createDataFrame([(i, f"{line} {i % 40}") for i in range(400)] + [(10**15, f"{line} 1")], "doc_id long, text string")
+    sizes = []
+    add = line_dedup.LineIndex.add
+    line_dedup.LineIndex.add = lambda self, b: (sizes.append(b.count()), add(self, b))
+    try:
+        got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_stats(d).collect()}
+    finally:
+        line_dedup.LineIndex.add = add
+    assert got == {i: int(i < 360 or i % 40 == 1) for i in range(400)} | {10**15: 0}
+    assert len(sizes) == 4 and min(sizes) > 80
 
 
 def plain_fp(text):
@@ -210,6 +240,16 @@ def test_simhash(docs, none):
     one = simhash.keep_one(docs)
     assert one.columns == docs.columns
     assert sorted(r["doc_id"] for r in one.collect() if r["doc_id"] is not None) == sorted({w[2] for w in want if w[2] is not None})
+    odd = docs.withColumnsRenamed({"h": "__doc", "kept": "__row", "queue": "c0", "fp": "component_id"})
+    assert simhash.keep_one(odd).columns == odd.columns and simhash.keep_one(odd).count() == one.count()
+
+
+def test_which_row_of_a_document_stays(spark):
+    schema = "doc_id long, text string, tag string, more map<string,int>"
+    data = [(5, "some text of its own here", "b", {}), (5, "some text of its own here", "a", {"x": 1}), (5, "another row, first by its text", "z", {}), (7, "some text of its own here", "c", {}), (None, "x", "d", {}), (None, "x", "d", {})]
+    for n in (1, 4):
+        got = simhash.keep_one(spark.createDataFrame(data, schema).repartition(n)).collect()
+        assert sorted((r["doc_id"] or -1, r["tag"]) for r in got) == [(-1, "d"), (-1, "d"), (5, "z")]
 
 
 def test_pipeline_drops_similar_texts(spark, docs, none, monkeypatch):
@@ -308,6 +348,8 @@ def test_token_store(spark, docs, none, tmp_path, mode):
         at += len(x)
     token_store.write_store(docs, str(tmp_path / "s"), mode=mode)
     assert rows(token_store.read_store(spark, str(tmp_path / "s")), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(want, key=repr)
+    index = token_store.chunk_index(spark, str(tmp_path / "s")).orderBy("start").collect()
+    assert sum(x["n_ids"] for x in index) == at and all(a["start"] + a["n_ids"] == b["start"] for a, b in zip(index, index[1:])) and all(x["n_bytes"] > 0 for x in index)
     token_store.write_store(none, str(tmp_path / "e"))
     assert token_store.read_store(spark, str(tmp_path / "e")).collect() == []
 
