@@ -1,4 +1,5 @@
-"""Samples that depend on ids alone, so that the same rows come from any partitioning."""
+"""Samples that depend on ids alone, so that the same rows come from any partitioning: by the MD5 of seed and id, which any
+SQL engine can repeat."""
 
 from __future__ import annotations
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 def _order(key: str, seed: int) -> list[Column]:
-    return [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]
+    return [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)).cast("binary")), F.col(key)]
 
 
 def sample_entities(df: DataFrame, n: int, seed: int = 42, key: str = "entity_id") -> DataFrame:
@@ -15,13 +16,14 @@ def sample_entities(df: DataFrame, n: int, seed: int = 42, key: str = "entity_id
     return df.orderBy(*_order(key, seed)).limit(n)
 
 
-def sample_by_country(df: DataFrame, cap: int, seed: int = 42) -> DataFrame:
-    """df if it has at most cap rows, else the same number of rows of each country, cap in all."""
-    n, countries = df.agg(F.count("*"), F.countDistinct(F.coalesce("country", F.lit("")))).first()
-    if n <= cap:
-        return df
-    w = Window.partitionBy(F.coalesce("country", F.lit(""))).orderBy(*_order("entity_id", seed))
-    return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= cap // max(countries, 1)).drop("__rn")
+def sample_by_country(df: DataFrame, cap: int, s1: DataFrame, seed: int = 42) -> DataFrame:
+    """The rows of df in the countries of s1: all if they are at most cap, else as many of each country, cap in all, one at least."""
+    here = s1.select("country_norm").distinct()
+    inside = df.join(here, "country_norm", "left_semi").select(*df.columns)
+    if inside.count() <= cap:
+        return inside
+    w = Window.partitionBy("country_norm").orderBy(*_order("entity_id", seed))
+    return inside.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= max(1, cap // max(here.count(), 1))).drop("__rn")
 
 
 def catalogue_cap(n: int) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from kithlink.config import FEATURE_COLS
 from kithlink.config import FIXTURE as C
 from kithlink.functions.lookups import ADDRESS_ABBREVIATIONS, COUNTRY_ALIASES, LEGAL_SUFFIXES
 from kithlink.sources.adapter import ENTITY_SQL
@@ -103,13 +104,18 @@ _ACCENTED = "àâäáãçéèêëíìîïñóòôöõúùûüßœæ"
 _CONTROL = " || ".join(f"chr({i})" for i in [*range(1, 9), *range(14, 32), 127][: len(_ACCENTED)])
 
 
+def _bytes(c: str) -> str:
+    return f"translate({c}, '{_ACCENTED}', {_CONTROL})"
+
+
 def _lev(a: str, b: str) -> str:
-    x, y = (f"translate({c}, '{_ACCENTED}', {_CONTROL})" for c in (a, b))
+    x, y = _bytes(a), _bytes(b)
     return f"round(case when greatest(length({a}), length({b})) = 0 then 1.0 else 1 - levenshtein({x}, {y}) / greatest(length({a}), length({b})) end, 4)"
 
 
 def _jw(a: str, b: str) -> str:
-    return f"case when {a} = '' and {b} = '' then 1.0 when {a} = '' or {b} = '' then 0.0 else jaro_winkler_similarity({a}, {b}) end"
+    x, y = _bytes(a), _bytes(b)
+    return f"case when {a} = '' and {b} = '' then 1.0 when {a} = '' or {b} = '' then 0.0 else jaro_winkler_similarity({x}, {y}) end"
 
 
 ADDR = f"""da as (select distinct x as a from (select ad as x from pa union all select bd from pa) where x <> ''),
@@ -122,7 +128,44 @@ aw as (select entity_id, t, w / sqrt(sum(w * w) over (partition by entity_id)) a
 ap2 as (select distinct ad, bd from pa),
 dot as (select ad, bd, sum(x.w * y.w) as v from ap2 join aw x on x.entity_id = ad join aw y on y.entity_id = bd and y.t = x.t group by ad, bd)"""
 
+def _lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence: a row of the table for each character of a, from lists of where it is in b."""
+    at = f"list_transform(string_split({a}, ''), lambda x: list_transform(string_split({b}, ''), lambda y: cast(x = y as int)))"
+    zeros = f"list_transform(range(length({b})), lambda i: 0)"
+    step = "list_transform(range(1, len(m) + 1), lambda j: case when m[j] = 1 then coalesce(r[j - 1], 0) + 1 else r[j] end)"
+    row = f"list_transform(range(1, len(m) + 1), lambda k: list_max(list_slice({step}, 1, k)))"
+    return f"case when {a} = '' or {b} = '' then 0 else list_max(list_reduce(list_concat([{zeros}], {at}), lambda r, m: {row})) end"
+
+
+def _ratio(a: str, b: str) -> str:
+    return f"case when length({a}) + length({b}) = 0 then 1.0 else 2 * ({_lcs(a, b)}) / (length({a}) + length({b})) end"
+
+
+#: Of distinct pairs of names: the words that both have, and either's others, each sorted and joined.
+RATIOS = f"""np0 as (select distinct an, bn, list_sort(list_filter(string_split(an, ' '), lambda w: w <> '')) as awords, list_sort(list_filter(string_split(bn, ' '), lambda w: w <> '')) as bwords from pa),
+np1 as (select *, array_to_string(awords, ' ') as aj, array_to_string(bwords, ' ') as bj, array_to_string(list_sort(list_distinct(list_filter(awords, lambda w: list_contains(bwords, w)))), ' ') as cc,
+        array_to_string(list_sort(list_distinct(list_filter(awords, lambda w: not list_contains(bwords, w)))), ' ') as ra, array_to_string(list_sort(list_distinct(list_filter(bwords, lambda w: not list_contains(awords, w)))), ' ') as rb from np0),
+np2 as (select *, trim(cc || ' ' || ra) as one, trim(cc || ' ' || rb) as two from np1),
+np3 as (select an, bn, case when aj = '' and bj = '' then 1.0 when aj = '' or bj = '' then 0.0 else {_ratio("aj", "bj")} end as sort_r,
+        case when aj = '' or bj = '' then 0.0 when cc <> '' and (ra = '' or rb = '') then 1.0
+             else greatest({_ratio("one", "two")}, case when cc = '' then 0.0 else 2 * length(cc) / (length(cc) + length(one)) end, case when cc = '' then 0.0 else 2 * length(cc) / (length(cc) + length(two)) end) end as set_r from np2)"""
+
 ORACLES: dict[str, str] = {
+    "features_token_ratio": f"with {CAND}, {ATTR}, {RATIOS} select {PAIR}, round(set_r, 4)::double as name_token_set, round(sort_r, 4)::double as name_token_sort from pa join np3 using (an, bn)",
+    "pair_features": f"with {CAND}, {ATTR}, {RATIOS}, {ADDR}, rc as (select s, d, row_number() over (partition by d order by blend desc, s) = 1 as nn from cand), "
+    f"all25 as (select s, d, {_same('an', 'bn')} as name_exact, {_jw('an', 'bn')} as name_jw, {_lev('an', 'bn')} as name_lev, set_r as name_token_set, sort_r as name_token_sort, "
+    f"{_same('asx', 'bsx')} as suffix_match, {_same('af', 'bf')} as first_token_match, {_same('aa', 'ba')} as acronym_match, len(list_intersect(atk, btk)) as name_common_tokens, "
+    "case when len(atk) > 0 and len(btk) > 0 then len(list_intersect(atk, btk)) / len(list_distinct(list_concat(atk, btk))) else 0.0 end as name_common_ratio, abs(ac - bc) as name_token_count_diff, "
+    f"{_jw('ad', 'bd')} as addr_jw, {_lev('ad', 'bd')} as addr_lev, coalesce(v, 0.0) as addr_tfidf_cos, {_same('ap', 'bp')} as pin_match, {_same('ast', 'bst')} as street_num_match, {_same('aco', 'bco')} as country_match, "
+    f"cast({_jw('an', 'bn')} >= {C.mismatch_name} and {_jw('ad', 'bd')} < {C.mismatch_addr} as int) as name_match_addr_mismatch, {_same('ap', 'bp', '<>')} as pin_conflict, {_same('ast', 'bst', '<>')} as street_num_conflict, "
+    "blend as blend_score, name_rank, addr_rank, cc as candidate_count, cast(nn as int) as is_reciprocal_nn from pa join np3 using (an, bn) left join dot using (ad, bd) join rc using (s, d)) "
+    f"select {PAIR}, " + ", ".join(f"round({c}::double, 4) as {c}" for c in FEATURE_COLS) + " from all25",
+    "train_cap_ids": f"with {CAND} select s as source1_entity_id from (select distinct s from cand) order by md5('{C.seed}:' || s), s limit 50",
+    "country_sample": f"with {NORM}, q as (select * from norm where src = 1 order by md5('{C.seed}:' || entity_id), entity_id limit 50), "
+    "i as (select * from norm where src <> 1 and country_norm in (select country_norm from q)), "
+    f"r as (select *, row_number() over (partition by country_norm order by md5('{C.seed}:' || entity_id), entity_id) as rn from i) "
+    "select entity_id, country_norm from q union all select entity_id, country_norm from r "
+    "where (select count(*) from i) <= 100 or rn <= greatest(1, 100 // (select count(distinct country_norm) from q))",
     "norm_name": f"with {NORM} select entity_id, name_norm, name_full_norm, name_suffix, name_first_token, name_acronym, name_token_count from norm",
     "norm_address": f"with {NORM} select entity_id, addr_norm, addr_pin, addr_street_num, addr_landmark, addr_token_count from norm",
     "norm_country": f"with {NORM} select country, country_norm, count(*) as n from norm group by all",
@@ -137,19 +180,22 @@ ORACLES: dict[str, str] = {
     "candidate_pairs": f"with {CAND} " + _list("cand", "candidate_entity_ids"),
     "matching_results": f"with {CAND}, {PRED} " + _list("pr", "matched_entity_ids"),
     "run_statistics": f"with {CAND}, {PRED} select count(x.s) as n_matched, count(*) - count(x.s) as n_singleton from (select entity_id as s from norm where src = 1) n left join (select distinct s from pr) x using (s)",
-    "output_violations": f"with {CAND}, v as (select 'query id repeated' as rule, count(*) as n from (select entity_id from norm where src = 1 group by 1 having count(*) > 1) union all "
-    "select 'candidate isn''t in the catalogue', count(*) from cand where d not in (select entity_id from norm where src <> 1) union all "
-    "select 'candidate of an unknown query id', count(*) from cand where s not in (select entity_id from norm where src = 1)) select rule, n from v where n > 0",
+    "output_violations": f"with {CAND}, {PRED}, q1 as (select entity_id from norm where src = 1 union all select entity_id from norm where src = 1 and entity_id like '%6'), "
+    "m2 as (select s, d from pr union select s, d || 'x' from pr where d like '%3'), c2 as (select s, d from cand union select s, d || 'z' from cand where d like '%1' union select s || 'y', d from cand where s like '%4'), "
+    "v as (select 'query id repeated' as rule, count(*) as n from (select entity_id from q1 group by 1 having count(*) > 1) union all "
+    "select 'match is no candidate', count(*) from (select s, d from m2 except select s, d from c2) union all "
+    "select 'candidate isn''t in the catalogue', count(*) from c2 where d not in (select entity_id from norm where src <> 1) union all "
+    "select 'candidate of an unknown query id', count(*) from c2 where s not in (select entity_id from q1)) select rule, n from v where n > 0",
     "features_native": f"with {CAND}, {ATTR} select {PAIR}, {_same('an', 'bn')} as name_exact, {_same('asx', 'bsx')} as suffix_match, {_same('af', 'bf')} as first_token_match, {_same('aa', 'ba')} as acronym_match, "
     f"cast(len(list_intersect(atk, btk)) as bigint) as name_common_tokens, abs(ac - bc) as name_token_count_diff, {_same('ap', 'bp')} as pin_match, {_same('ast', 'bst')} as street_num_match, {_same('aco', 'bco')} as country_match, "
     f"{_same('ap', 'bp', '<>')} as pin_conflict, {_same('ast', 'bst', '<>')} as street_num_conflict, {_lev('an', 'bn')} as name_lev, "
     f"round(case when len(atk) > 0 and len(btk) > 0 then len(list_intersect(atk, btk)) / len(list_distinct(list_concat(atk, btk))) else 0.0 end, 4) as name_common_ratio, {_lev('ad', 'bd')} as addr_lev from pa",
-    "features_jw": f"with {CAND}, {ATTR}, s2 as (select s, d, {_jw('an', 'bn')} as nj, {_jw('ad', 'bd')} as aj from pa where regexp_full_match(an || bn || ad || bd, '[\\x00-\\x7F]*')) "
+    "features_jw": f"with {CAND}, {ATTR}, s2 as (select s, d, {_jw('an', 'bn')} as nj, {_jw('ad', 'bd')} as aj from pa) "
     f"select {PAIR}, round(nj, 4) as name_jw, round(aj, 4) as addr_jw, cast(nj >= {C.mismatch_name} and aj < {C.mismatch_addr} as bigint) as name_match_addr_mismatch from s2",
     "feature_addr_cosine": f"with {CAND}, {ATTR}, {ADDR} select {PAIR}, round(coalesce(v, 0.0), 4) as addr_tfidf_cos from pa left join dot using (ad, bd)",
     "reciprocal_nn": f"with {CAND} select {PAIR}, cast(row_number() over (partition by d order by blend desc, s) = 1 as bigint) as is_reciprocal_nn from cand",
     "labels_weights": f"with {CAND}, {TRUTH}, lb as (select c.*, cast(tr.s is not null as bigint) as y, name_sim > 0.9 and addr_anchor = 0 as hard from cand c left join tr using (s, d)), "
-    f"rt as (select sum(1 - y) / greatest(sum(y), 1) as r from lb) select {PAIR}, y as is_match, round(case when y = 1 then r when hard then {C.hard_neg_weight} else 1.0 end, 4)::double as weight, cast(substr(s, 2) as bigint) % {C.n_folds} as fold from lb, rt",
+    f"rt as (select sum(1 - y) / greatest(sum(y), 1) as r from lb) select {PAIR}, y as is_match, round(case when y = 1 then r when hard then {C.hard_neg_weight} else 1.0 end, 4)::double as weight, cast('0x' || substr(md5(s), 1, 7) as bigint) % {C.n_folds} as fold from lb, rt",
     "blocking_recall": f"with {CAND}, {TRUTH}, f as (select count(c.s) as n_found, count(*) as n_true from tr left join cand c using (s, d)) select n_found, n_true, round(case when n_true = 0 then 1.0 else n_found / n_true end, 4)::double as recall from f",
     "reduction_ratio": f"with {CAND}, f as (select (select count(*) from cand) as n_candidates, (select count(*) from norm where src = 1) as n_s1, (select count(*) from norm where src <> 1) as n_catalogue) "
     "select *, round(case when n_s1 * n_catalogue = 0 then 1.0 else 1 - n_candidates / (n_s1 * n_catalogue) end, 6)::double as reduction_ratio from f",

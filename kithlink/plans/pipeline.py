@@ -1,13 +1,17 @@
 """Training and prediction from files to files.
 
-    spark-submit kithlink/plans/pipeline.py --mode full --data DIR --out DIR [--sample N] [--force-normalize]
+    python -m kithlink --mode full --data DIR --out DIR [--sample N] [--force-normalize]
+    spark-submit --conf spark.checkpoint.dir=SHARED run.py --mode full ...    # any file that calls main()
 """
 
 from __future__ import annotations
 
 import argparse
 import logging
+import shutil
 import sys
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +49,8 @@ def run_training(s1: DataFrame, s2: DataFrame, s3: DataFrame, truth: Truth, out:
     features = stored(compute_features(candidates, s1, catalogue, cfg), f"{out}/train_features.parquet")
     if cap:
         features = cap_training(features, cfg.train_cap, cfg.seed)
+        if E.n_entities(features) < E.n_entities(candidates):  # what isn't trained on isn't missed either
+            here = here.join(features.select(PAIR[0]).distinct(), PAIR[0], "left_semi")
     matcher, scored = M.train_matcher(features, here, cfg)
     matcher.save(f"{out}/model", s1.sparkSession)
     log.info("threshold %.2f, fold accuracy (in-sample for the calibrator) %s", matcher.threshold, [r.asDict() for r in M.fold_accuracy(scored).collect()])
@@ -67,6 +73,13 @@ def run_prediction(s1: DataFrame, s2: DataFrame, s3: DataFrame, out: str, cfg: C
     return matches
 
 
+def ship(spark: SparkSession) -> None:
+    """Python workers import the package too, wherever it lies on the driver."""
+    package = Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp(prefix="kithlink-package-")
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/kithlink", "zip", package.parent, package.name))
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description="Link business entities")
     p.add_argument("--mode", choices=["train", "predict", "full"], default="full")
@@ -79,6 +92,7 @@ def main(argv: list[str] | None = None) -> None:
     a = p.parse_args(argv)
     setup_logging(a.log)
     spark, cfg = SparkSession.builder.appName("kithlink").getOrCreate(), Config(trees=a.trees)
+    ship(spark)
     load = lambda split: load_split(spark, a.data, split, a.sample, f"{a.out}/cache", a.force_normalize)
     matcher = None
     if a.mode in ("train", "full"):

@@ -12,7 +12,7 @@ select doc_id as k,
        concat(regexp_extract(trim(replace(text, chr(10), ' ')), '^([^ ]+( +[^ ]+){0,5})', 1),
               case when n_chars % 4 = 0 then ' & Co. Ltd' when n_chars % 4 = 1 then ' Inc.' when n_chars % 4 = 2 then ' Pvt' else '' end) as business_name,
        concat(cast(1 + n_chars % 97 as string), case when n_chars % 5 = 0 then 'b' else '' end, ' ',
-              regexp_extract(trim(replace(text, chr(10), ' ')), '([^ ]+ +[^ ]+)$', 1),
+              reverse(regexp_extract(reverse(trim(replace(text, chr(10), ' '))), '^([^ ]+ +[^ ]+)', 1)),
               ' Rd, near Sq. ', cast(10000 + n_chars % 911 as string)) as business_address,
        case when doc_id % 41 = 0 then '' when lang = 'en' then 'U.S.' when lang = 'de' then 'Bharat' else lang end as country,
        md5(text) as h
@@ -26,7 +26,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def truth_pairs(ent: DataFrame) -> DataFrame:
-    """Exact copies across the sides, in one country, are true matches."""
+    """Exact copies across the sides are true matches, in whatever country they are."""
     q = ent.where("src = 1").select(F.col("entity_id").alias("source1_entity_id"), "h")
     c = ent.where("src <> 1").select(F.col("entity_id").alias("candidate_entity_id"), "h")
     return q.join(c, "h").select("source1_entity_id", "candidate_entity_id")

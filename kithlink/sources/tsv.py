@@ -60,8 +60,7 @@ def load_split(spark: SparkSession, folder: str, split: str, sample: int | None
     s1, s2, s3 = (load_and_normalise(spark, f"{folder}/{split}_source{i}.tsv", f"{cache}/{split}_source{i}_normalized.parquet" if cache else None, force) for i in (1, 2, 3))
     if sample:
         s1 = sample_entities(s1, sample)
-        here = s1.select("country_norm").distinct()
-        s2, s3 = (sample_by_country(s.join(here, "country_norm", "left_semi"), catalogue_cap(sample)) for s in (s2, s3))
+        s2, s3 = (sample_by_country(s, catalogue_cap(sample), s1) for s in (s2, s3))
     return s1, s2, s3
 
 

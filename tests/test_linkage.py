@@ -136,6 +136,77 @@ def test_candidates_do_not_depend_on_partitions(spark):
     assert same(a, b) == "" and a.groupby("source1_entity_id").size().max() <= Config().prune_hard_cap
 
 
+def test_production_settings_against_plain_python(spark):
+    """Cosines with min_df 5, max_df 0.02 and 15,000 terms at most, on a corpus that is large enough for them."""
+    import math
+    import random
+    from collections import Counter
+
+    from kithlink.operators.blocking import blocks, tfidf_pairs
+
+    r, cfg = random.Random(6), Config()
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    words = ["".join(r.choices(syllables, k=r.choice([2, 3]))) for _ in range(500)]
+    names = [" ".join(r.choices(words, k=r.choice([1, 2, 3]))) for _ in range(700)]
+    rows = [(f"D{i}", names[i], "utopia", i % 2) for i in range(700)]
+    d = spark.createDataFrame(rows, "entity_id string, name_norm string, country_norm string, side_no int").repartition(3)
+    got = {(x[0], x[1]): x[2] for x in tfidf_pairs(blocks(d.where("side_no = 0"), d.where("side_no = 1")), "name_norm", "name_sim", cfg).collect()}
+
+    def grams(name):
+        return Counter(p[i : i + n] for w in name.split() for p in [f" {w} "] for n in range(3, 6) for i in range(len(p) - n + 1))
+
+    tf = [grams(n) for n in names]
+    df, total = Counter(t for g in tf for t in g), Counter()
+    for g in tf:
+        total.update(g)
+    vocabulary = sorted((t for t in df if cfg.min_df <= df[t] <= cfg.max_df * 700), key=lambda t: (-total[t], t))[: cfg.max_features]
+    assert 100 < len(vocabulary) < len(df)
+    idf = {t: math.log(701 / (1 + df[t])) + 1 for t in vocabulary}
+    vec = []
+    for g in tf:
+        v = {t: (1 + math.log(n)) * idf[t] for t, n in g.items() if t in idf}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        vec.append({t: x / norm for t, x in v.items()})
+    want = {}
+    for q in range(0, 700, 2):
+        sims = [(round(sum(x * vec[c].get(t, 0.0) for t, x in vec[q].items()), 6), f"D{c}") for c in range(1, 700, 2)]
+        for s, c in sorted(((s, c) for s, c in sims if s >= cfg.sim_floor), key=lambda x: (-x[0], x[1]))[: cfg.top_k]:
+            want[(f"D{q}", c)] = s
+    assert len(want) > 300 and set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_samples(spark):
+    from kithlink.operators import sampling as A
+
+    d = spark.createDataFrame([(f"D{i}", "abc"[i % 3] if i < 90 else "d") for i in range(100)], "entity_id string, country_norm string")
+    s1 = A.sample_entities(d.where("country_norm in ('a', 'b')"), 20)
+    assert s1.count() == 20 and A.sample_by_country(d, 1000, s1).count() == 60
+    some = A.sample_by_country(d.repartition(7), 10, s1).collect()
+    assert sorted(r["country_norm"] for r in some) == ["a"] * 5 + ["b"] * 5
+    assert {r["entity_id"] for r in some} == {r["entity_id"] for r in A.sample_by_country(d, 10, s1).collect()}
+    assert A.sample_by_country(d, 1, s1).count() == 2  # one of each at least
+
+
+def test_a_table_is_staged_once_while_it_stays_the_same(spark, tmp_path):
+    from kithlink.sources.stage import stage_once
+
+    at, made = str(tmp_path / "t"), []
+    make = lambda: (made.append(1), spark.read.parquet(at))[1]
+    spark.range(3).write.parquet(at)
+    assert stage_once(spark, at, "x", make).count() == stage_once(spark, at, "x", make).count() == 3 and len(made) == 1
+    spark.range(5).write.mode("overwrite").parquet(at)
+    assert stage_once(spark, at, "x", make).count() == 5 and len(made) == 2
+
+
+def test_the_command_starts():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    done = subprocess.run([sys.executable, "-m", "kithlink", "--help"], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True)
+    assert done.returncode == 0 and "--sample" in done.stdout
+
+
 def test_files_to_files(spark, tmp_path):
     """Train, save, load, predict, write, validate, with quoted fields and blank truth."""
     import csv
