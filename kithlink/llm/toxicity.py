@@ -28,12 +28,15 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kithlink.llm.common import materialise, text_of
 
 SAMPLE, INDEXED, NEIGHBOURS, BLOCK, BEGINNINGS, EXTRA = 20_000, 4000, 15, 64, (3, 4, 5, 6), 2.0
+#: Terms of more than one in so many examples have dense rows.
+DENSE = 8
 #: Examples that a term needs to be tried as a mark: with fewer, none can be told from chance.
 TRIED = 4
 #: A term found twice or more, and once in so many words, counts again as a term of that rate.
@@ -56,31 +59,35 @@ class Terms:
     def __init__(self, vocabulary: dict[str, int] | None = None, remembered: int = 200_000):
         self.vocabulary, self.remembered, self.words = vocabulary, remembered, {}
         self.plain = None if vocabulary is None else {t.split(" ")[0] for t in vocabulary}
+        self.starts = None if vocabulary is None else {t.rstrip("*")[: BEGINNINGS[0]] for t in self.plain}  # most words have none of these
 
-    def _of(self, word: str):
-        t = word_terms(word)
-        if self.plain is not None:
-            t = tuple(x for x in t if x in self.plain)
-        if len(self.words) >= self.remembered:
-            self.words.clear()
-        self.words[word] = t
-        return t
+    def of(self, word: str) -> tuple[str, ...]:
+        if self.plain is None:
+            return word_terms(word)
+        w = word.strip(EDGES)
+        return tuple(x for x in word_terms(w) if x in self.plain) if w[: BEGINNINGS[0]] in self.starts else ()
+
+    def kept(self, counts: dict, words: int) -> dict:
+        """counts of a text of so many words, with terms of rates, by what the vocabulary has for them."""
+        out = counts | {at_rate(x, r): 1 for x, n in counts.items() if n > 1 for r in RATES if n * r >= words}
+        v = self.vocabulary
+        return out if v is None else {v[x]: n for x, n in out.items() if x in v}
 
     def counts(self, text: str) -> dict:
         return self.of_words(Counter(text.lower().split()))
 
     def of_words(self, words: Counter) -> dict:
         out: dict = {}
-        known, total = self.words, words.total()
+        known = self.words
         for w, n in words.items():
             t = known.get(w)
             if t is None:
-                t = self._of(w)
+                if len(known) >= self.remembered:
+                    known.clear()
+                t = known[w] = self.of(w)
             for x in t:
                 out[x] = out.get(x, 0) + n
-        out |= {at_rate(x, r): 1 for x, n in out.items() if n > 1 for r in RATES if n * r >= total}
-        v = self.vocabulary
-        return out if v is None else {v[x]: n for x, n in out.items() if x in v}
+        return self.kept(out, words.total())
 
 
 def _llr(n_bad: int, n_good: int):
@@ -95,8 +102,6 @@ def _llr(n_bad: int, n_good: int):
 
 def word_hash(word: str) -> int | None:
     """What stands for a word in the vectors; none for marks of punctuation alone."""
-    import xxhash
-
     w = word.strip(EDGES)
     return xxhash.xxh64_intdigest(w) >> 1 if w else None
 
@@ -116,8 +121,17 @@ class Index:
         terms = np.concatenate([v[0] for v in self.vectors] or [np.zeros(0, int)]).astype(np.int64)
         docs = np.repeat(np.arange(self.n, dtype=np.int32), [len(v[0]) for v in self.vectors])
         weights = np.concatenate([v[1] for v in self.vectors] or [np.zeros(0)]).astype(float)
+        # Terms of very many examples have a row with a place for each: as exact as postings, and read without places.
+        df = np.bincount(terms, minlength=n_terms)
+        frequent = np.flatnonzero(df * DENSE > self.n)
+        self.row = np.full(n_terms, -1, dtype=np.int32)
+        self.row[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), self.n))
+        there = self.row[terms] >= 0
+        self.dense[self.row[terms[there]], docs[there]] = weights[there]
+        terms, docs, weights = terms[~there], docs[~there], weights[~there]
         by = np.lexsort((docs, terms))
-        self.docs, self.weights, terms = docs[by], weights[by], terms[by]
+        self.docs, self.weights, terms = docs[by].astype(np.int64), weights[by], terms[by]
         # Runs of one term in one block: where they begin in the postings, and the largest weight in them.
         run = terms * self.blocks + self.docs // block
         first = np.flatnonzero(np.r_[len(run) > 0, run[1:] != run[:-1]]) if len(run) else np.zeros(0, np.int64)
@@ -140,32 +154,41 @@ class Index:
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine; ties go to earlier examples."""
+        rows = self.row[ids]
+        dense = rows >= 0
+        scores = weights[dense] @ self.dense[rows[dense]]  # these rows alone: the whole of it doesn't stay in a core's cache
+        if without >= 0:
+            scores[without] = 0.0
+        ids, weights = ids[~dense], weights[~dense]
         start = self.term_at[ids]
         n = self.term_at[ids + 1] - start
         runs, w = self._spread(start, n), np.repeat(weights, n)
-        if not len(runs):
-            return np.zeros(0, np.int64), np.zeros(0)
-        at = self.run_block[runs]
-        bound = np.bincount(at, w * self.run_most[runs], self.blocks)
-        # The blocks of largest bound, some more than k examples, set the floor that other blocks have to reach.
-        seeds = min(self.blocks, 2 + k // self.block)
-        first = np.zeros(self.blocks, bool)
-        first[np.argpartition(-bound, seeds - 1)[:seeds]] = True
-        mine = first[at]
-        scores = self._scores(runs[mine], w[mine])
-        if without >= 0:
-            scores[without] = 0.0
-        floor = np.partition(scores, self.n - k)[self.n - k] if self.n > k else 0.0
-        mine = (~first & (bound > 0) & (bound >= floor - 1e-9))[at]
-        if mine.any():
-            more = self._scores(runs[mine], w[mine])
+        if self.n:
+            at = self.run_block[runs]
+            bound = np.bincount(at, w * self.run_most[runs], self.blocks) + np.maximum.reduceat(scores, np.arange(0, self.n, self.block))
+            # The blocks of largest bound, some more than k examples, set the floor that other blocks have to reach.
+            seeds = min(self.blocks, 2 + k // self.block)
+            whole = np.zeros(self.blocks, bool)
+            whole[np.argpartition(-bound, seeds - 1)[:seeds]] = True
+            mine = whole[at]
+            scores += self._scores(runs[mine], w[mine])
             if without >= 0:
-                more[without] = 0.0
-            scores += more  # an example is in one block: one of both is 0
-        scores = np.round(scores, 12)
-        hit = np.flatnonzero(scores > max(0.0, floor - 1e-9) if floor > 0 else scores > 0)
-        top = hit[np.lexsort((hit, -scores[hit]))[:k]]
-        return top, scores[top]
+                scores[without] = 0.0
+            done = scores[np.repeat(whole, self.block)[: self.n]]
+            floor = np.partition(done, len(done) - k)[len(done) - k] - 1e-9 if len(done) > k else 0.0
+            more = ~whole & (bound > 0) & (bound >= floor)
+            if more.any():
+                mine = more[at]
+                scores += self._scores(runs[mine], w[mine])
+                if without >= 0:
+                    scores[without] = 0.0
+            scores[~np.repeat(whole | more, self.block)[: self.n]] = 0.0
+            hit = np.flatnonzero(scores > max(floor, 0.0))
+        else:
+            hit = np.zeros(0, np.int64)
+        scores = np.round(scores[hit], 12)
+        top = np.lexsort((hit, -scores))[:k]
+        return hit[top], scores[top]
 
 
 def monotone(x: np.ndarray, y: np.ndarray, weigh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,43 +206,62 @@ def monotone(x: np.ndarray, y: np.ndarray, weigh: np.ndarray) -> tuple[np.ndarra
 
 
 class Scorer:
-    """marks: the marks' names to ids, words: the words' hashes to the ids after these."""
+    """marks: the marks' names to ids, words: the words' hashes to the ids after these.
+
+    Pickled, it is the examples' counts alone, some 6 bytes for each of their words; the index is built where it is used."""
 
     def __init__(self, examples: list[tuple], marks: dict[str, int], k: int = NEIGHBOURS, extra: float = EXTRA):
         """examples: (name, label, how many it stands for, counts by mark, counts by word hash)."""
-        self.k, self.extra, self.marks = k, extra, marks
-        self.words: dict[int, int] = {}
+        words: dict[int, int] = {}
         for e in examples:
             for h in sorted(e[4]):
-                self.words.setdefault(h, len(marks) + len(self.words))
-        n = len(examples)
-        df = np.zeros(len(marks) + len(self.words))
+                words.setdefault(h, len(marks) + len(words))
+        ids, counts = [], []
         for e in examples:
-            df[list(e[3])] += 1
-            df[[self.words[h] for h in e[4]]] += 1
-        self.idf = np.log((1 + n) / (1 + df)) + 1
-        vectors = [self.vector(e[3], {self.words[h]: c for h, c in e[4].items()}) for e in examples]
-        weigh = np.array([e[2] for e in examples], dtype=float)
-        self.prior = float(sum(e[1] * e[2] for e in examples) / weigh.sum()) if n else 0.0
-        self.index = Index(vectors, [e[1] for e in examples], [e[0] for e in examples], len(df), weigh=weigh)
-        self.at, self.values = np.zeros(1), np.array([self.prior])
-
-    def calibrate(self, raw: np.ndarray) -> None:
-        """raw: the vote for each example of the index by the others."""
-        if len(raw):
-            at, values = monotone(raw, self.index.labels, self.index.weigh)
-            self.at, self.values = np.r_[0.0, at, 1.0], np.r_[0.0, values, 1.0]
-        self.index.vectors = []  # the postings hold them too
+            held = sorted(e[3].items()) + sorted((words[h], c) for h, c in e[4].items())
+            ids.append(np.array([x for x, _ in held], dtype=np.int32))
+            counts.append(np.array([c for _, c in held], dtype=np.int32))
+        self.__setstate__({
+            "k": k, "extra": extra, "marks": marks, "hashes": np.fromiter(words, np.int64, len(words)),
+            "lens": np.array([len(x) for x in ids], dtype=np.int32), "ids": np.concatenate(ids or [np.zeros(0, np.int32)]), "counts": np.concatenate(counts or [np.zeros(0, np.int32)]),
+            "names": [e[0] for e in examples], "labels": [e[1] for e in examples], "weigh": [e[2] for e in examples],
+        })
+
+    def __getstate__(self) -> dict:
+        return self.state
+
+    def __setstate__(self, state: dict) -> None:
+        self.state, self.k, self.extra, self.marks = state, state["k"], state["extra"], state["marks"]
+        self.words = dict(zip(state["hashes"].tolist(), range(len(self.marks), len(self.marks) + len(state["hashes"]))))
+        n, terms = len(state["names"]), len(self.marks) + len(self.words)
+        self.idf = np.log((1 + n) / (1 + np.bincount(state["ids"], minlength=terms))) + 1
+        ends = np.cumsum(state["lens"])
+        spans = [slice(e - m, e) for e, m in zip(ends.tolist(), state["lens"].tolist())]
+        vectors = [self._unit(state["ids"][x].astype(np.int64), state["counts"][x]) for x in spans]
+        weigh = np.array(state["weigh"], dtype=float)
+        self.prior = float((np.array(state["labels"]) * weigh).sum() / weigh.sum()) if n else 0.0
+        self.index = Index(vectors, state["labels"], state["names"], terms, weigh=weigh)
+
+    def calibration(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where votes lie and the scores there. raw: the vote for each example of the index by the others."""
+        if not len(raw):
+            return np.zeros(1), np.array([self.prior])
+        at, values = monotone(raw, self.index.labels, self.index.weigh)
+        return np.r_[0.0, at, 1.0], np.r_[0.0, values, 1.0]
+
+    def _unit(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids ascending: the marks, then the words."""
+        w = (1 + np.log(counts)) * self.idf[ids]
+        cut = int(np.searchsorted(ids, len(self.marks)))
+        for part, weight in ((w[:cut], self.extra), (w[cut:], 1.0)):
+            part *= weight / (math.sqrt(float(part @ part)) or 1.0)
+        return ids, w / (math.sqrt(float(w @ w)) or 1.0)
 
     def vector(self, marks: dict[int, int], words: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Of ids ascending; marks come first."""
-        parts = []
-        for counts, weight in ((marks, self.extra), (words, 1.0)):
-            ids = np.array(sorted(counts), dtype=np.int64)
-            w = (1 + np.log(np.array([counts[i] for i in ids.tolist()], dtype=float))) * self.idf[ids] if len(ids) else np.zeros(0)
-            parts.append((ids, w * (weight / (math.sqrt(float(w @ w)) or 1.0))))
-        w = np.concatenate([p[1] for p in parts])
-        return np.concatenate([p[0] for p in parts]), w / (math.sqrt(float(w @ w)) or 1.0)
+        n = len(marks) + len(words)
+        ids = np.fromiter((*marks, *words), np.int64, n)
+        by = np.argsort(ids)
+        return self._unit(ids[by], np.fromiter((*marks.values(), *words.values()), float, n)[by])
 
     def vote(self, ids: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float, list]:
         d, s = self.index.nearest(ids, weights, self.k, without)
@@ -232,40 +274,43 @@ class Scorer:
     def vote_without(self, i: int) -> float:
         return self.vote(*self.index.vectors[i], without=i)[0]
 
-    def score(self, marks: dict[int, int], words: dict[int, int]) -> tuple[float, list]:
-        raw, evidence = self.vote(*self.vector(marks, words))
-        return min(max(float(np.interp(raw, self.at, self.values)), 0.0), 1.0), evidence
+
+NOTHING = (-1, ())  # what a word stands for that is in no example and no mark
 
 
 class Reader:
     """Scores texts; what a word stands for and what a text has come to are remembered, up to a bound."""
 
-    def __init__(self, scorer: Scorer, remembered: int = 200_000):
-        self.scorer, self.remembered, self.marks = scorer, remembered, Terms(scorer.marks, remembered)
-        self.ids: dict[str, int | None] = {}
+    def __init__(self, model: tuple[Scorer, np.ndarray, np.ndarray], remembered: int = 400_000):
+        self.scorer, self.at, self.values = model
+        self.remembered, self.marks = remembered, Terms(self.scorer.marks, 0)
+        self.of: dict[str, tuple[int, tuple[str, ...]]] = {}
         self.known: dict[int, tuple] = {}
 
     def counts(self, text: str) -> tuple[dict[int, int], dict[int, int]]:
-        words, known, out = Counter(text.lower().split()), self.ids, {}
+        words, of, out, marked = Counter(text.lower().split()), self.of, {}, {}
         for w, n in words.items():
-            if w in known:
-                i = known[w]
-            else:
-                if len(known) >= self.remembered:
-                    known.clear()
-                i = known[w] = self.scorer.words.get(word_hash(w))
-            if i is not None:
-                out[i] = out.get(i, 0) + n
-        return self.marks.of_words(words), out
+            x = of.get(w)
+            if x is None:
+                if len(of) >= self.remembered:
+                    of.clear()
+                x = self.scorer.words.get(word_hash(w), -1), self.marks.of(w)
+                of[w] = x = x if x != NOTHING else NOTHING
+            if x is not NOTHING:
+                i, marks = x
+                if i >= 0:
+                    out[i] = out.get(i, 0) + n
+                for m in marks:
+                    marked[m] = marked.get(m, 0) + n
+        return self.marks.kept(marked, words.total()) if marked else marked, out
 
     def score(self, text: str) -> tuple[float, list]:
-        import xxhash
-
         key = xxhash.xxh3_128_intdigest(text)
         if key not in self.known:
             if len(self.known) >= 20_000:
                 self.known.clear()
-            self.known[key] = self.scorer.score(*self.counts(text))
+            raw, evidence = self.scorer.vote(*self.scorer.vector(*self.counts(text)))
+            self.known[key] = min(max(float(np.interp(raw, self.at, self.values)), 0.0), 1.0), evidence
         return self.known[key]
 
 
@@ -283,8 +328,9 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, indexed: int = INDEXED) -> Scorer:
-    """docs (doc_id, text); labels (doc_id, toxic), bounded. Driver: the marks, and the counts of the indexed examples."""
+def fit(docs: DataFrame, labels: DataFrame, *, indexed: int = INDEXED):
+    """A broadcast scorer and its calibration. docs (doc_id, text); labels (doc_id, toxic), bounded. Driver: the marks, and the
+    counts of the indexed examples."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(labels), "doc_id")
     rows = materialise(rows.withColumn("toxic", (F.col("toxic") != 0).cast("int")), "toxicity-examples")
@@ -355,18 +401,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, indexed: int = INDEXED) -> Scorer
 
     n = scorer.index.n
     raw = {r["id"]: r["raw"] for r in spark.range(0, n, 1, max(1, min(24, n // 100))).mapInArrow(votes, "id long, raw double").collect()}
-    scorer.calibrate(np.array([raw[i] for i in range(n)]))
-    return scorer
+    return shared, *scorer.calibration(np.array([raw[i] for i in range(n)]))
 
 
 SCORES = "doc_id long, score double, predicted int, evidence array<bigint>"
 
 
-def _scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
-
+def _scored(docs: DataFrame, shared, at: np.ndarray, values: np.ndarray) -> DataFrame:
     def run(batches):
-        reader = Reader(shared.value)
+        reader = Reader((shared.value, at, values))
         for b in batches:
             got = [reader.score(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays(
@@ -379,17 +422,17 @@ def _scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence): evidence are the nearest examples."""
-    return _scored(docs, fit(docs, labels)).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
+    return _scored(docs, *fit(docs, labels)).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not predicted to be toxic, with their own columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    at = docs.columns.index("text")
+    shared, at, values = fit(docs, labels)
+    text = docs.columns.index("text")
 
     def run(batches):
-        reader = Reader(shared.value)
+        reader = Reader((shared.value, at, values))
         for b in batches:
-            yield b.filter(pa.array([reader.score(t.as_py() or "")[0] < 0.5 for t in b.column(at)], pa.bool_()))
+            yield b.filter(pa.array([reader.score(t.as_py() or "")[0] < 0.5 for t in b.column(text)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -579,7 +579,7 @@ def test_scores_against_brute_force(spark):
     texts = [(a, b, 1.0, "x", 7) for a, b, _ in data] + [(a, b, 2.0, "x", 7) for a, b, _ in data[:9]] + [(900, "unseen words alone", 0.0, "x", 7), (901, "", 0.0, "x", 7), (902, None, 0.0, "x", 7)]
     df = spark.createDataFrame(texts, "doc_id long, text string, score double, evidence string, predicted int").repartition(3)
     labels = spark.createDataFrame([(a, c) for a, _, c in data if zlib.crc32(str(a).encode()) % 5], "doc_id long, toxic int")
-    scorer = toxicity.fit(df, labels)
+    scorer = toxicity.fit(df, labels)[0].value
     assert "vile*" in scorer.marks or "vile" in scorer.marks
     got = sorted((x["doc_id"], x["score"], x["evidence"]) for x in toxicity.score(df, labels).collect())
 
