@@ -23,6 +23,31 @@ def test_one_row_for_each_input_row(spark, name):
     assert got[got.columns[0]].nunique() == n and (len(got) == n or "packing" in name)
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in any column, blank and long texts, ties, repeated rows, clashing columns; then no rows."""
+    good = " ".join(" ".join(f"word{i}x{k}" for k in range(9)) + "." for i in range(8))  # one line, with a number another in each
+    shared = "a line of more than forty characters that many documents hold."
+    rows = [(i, f"{good} {i}\n{shared}" if i % 2 else f"{' '.join(f'other{i}y{k}' for k in range(60))}.\n{shared}", "s", 1, "a", 2) for i in range(20)]
+    rows += [rows[4], rows[4], (None, rows[4][1], None, None, None, None), (100, None, "s", 1, "a", 2), (101, "", "s", 1, "a", 2), (102, " \n ", "s", 1, "a", 2), (103, " ".join(f"long{k}" for k in range(60_000)), None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, __doc string, c0 int").repartition(3)
+    first = {"toxicity": 0, "quality_rules": 3, "line_dedup": 0}
+    now, ids = docs, [r[0] for r in rows]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, SF)
+        got = [r["doc_id"] for r in now.collect()]
+        assert now.columns == docs.columns and set(got) <= set(ids)
+        if name in first:
+            assert len(ids) - len(got) == first[name], name
+        ids = got
+    # of the odd rows one stays, being near copies; of the repeated row one; rows without doc_id stay
+    assert sorted(x for x in ids if x is not None) == sorted([*range(0, 20, 2), 1, 103]) and ids.count(None) == 1
+    pieces = corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()
+    assert {r["doc_id"] for r in pieces} == set(ids)
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).collect() == []
+
+
 def test_pipeline(spark):
     """On a table with enough labels for a model. Each stage's operator is held against plain Python in test_operators."""
     at = "/root/testdata/sf0.01"
