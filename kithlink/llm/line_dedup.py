@@ -5,8 +5,7 @@ Keys that are long enough and lie in enough documents are heavy. Their occurrenc
 in batches of descending doc_id and about as many rows each: each batch merge-anti-joins the runs for the keys that no
 larger document holds, which are the batch's own and become a new sorted run; any other occurrence is a repetition. Runs
 of one level are merged into one of the next when there are `FANOUT` of them, so a batch meets few runs. A run is a table
-bucketed by key and sorted in its buckets, which a merge join reads as it lies: only the batch is shuffled, once for all
-runs. The runs (`LineIndex`) stay usable: later tables can be held against them.
+bucketed by key and sorted in its buckets, and so are a batch's own keys: the merge joins read both as they lie. The runs (`LineIndex`) stay usable: later tables can be held against them.
 
 Defined cases: null and empty texts are one empty line; a text that loses all lines becomes empty; rows that share a
 doc_id count as one document and lose the same lines; a line twice in one document counts once and both stay or go;
@@ -61,8 +60,9 @@ class LineIndex:
 
     def add(self, batch: DataFrame) -> None:
         """batch (a, b, doc_id): its unseen keys become a run, kept by the batch's largest document."""
-        own = batch.groupBy("a", "b").agg(F.max("doc_id").alias("keeper"))
-        self.levels[0].append(self._sorted(self.unseen(own), 0))
+        # Written before the joins, which would otherwise go below the aggregation and shuffle every occurrence of a hot line.
+        own = self._sorted(batch.groupBy("a", "b").agg(F.max("doc_id").alias("keeper")), 0)
+        self.levels[0].append(self._sorted(self.unseen(own), 0) if self.runs() else own)
         for i, level in enumerate(self.levels):
             if len(level) >= self.fanout:
                 merged = level[0]
@@ -101,7 +101,8 @@ def dropped_keys(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int =
             part = occurrences if cut is None else occurrences.where(F.col("doc_id") > cut)
             index.add(part if above is None else part.where(F.col("doc_id") <= above))
             above = cut
-    again = occurrences.join(index.all(), ["a", "b"]).where("doc_id <> keeper")
+    # `j` asks for an exchange of both sides, in which a hot key can be split.
+    again = occurrences.select("a", "b", "doc_id", j).join(index.all().select("a", "b", "keeper", j), ["a", "b", "j"]).where("doc_id <> keeper")
     return again.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("drops"))
 
 
