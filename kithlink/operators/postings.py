@@ -22,8 +22,8 @@ def vocabulary(post: DataFrame, sizes: DataFrame, min_df: int, max_df: float, ma
 
 
 def weights(post: DataFrame, vocab: DataFrame, sublinear: bool = True) -> DataFrame:
-    """(block_key, side, entity_id, term, w): unit vectors over the kept terms."""
+    """(block_key, side, entity_id, term, w, df): unit vectors over the kept terms."""
     tf = 1 + F.log("tf") if sublinear else F.col("tf")
     raw = post.join(vocab, ["block_key", "term"]).withColumn("w", tf * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*KEY)))
-    return raw.withColumn("w", F.col("w") / norm).select(*KEY, "term", "w")
+    return raw.withColumn("w", F.col("w") / norm).select(*KEY, "term", "w", "df")
