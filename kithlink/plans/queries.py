@@ -51,7 +51,8 @@ def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 
 
 def _r(*names: str, digits: int = 4):
-    return [F.round(n, digits).alias(n) for n in names]
+    """Rounded as a whole number of units: a value on a half, rounded before, goes the way its binary value times 10^digits goes."""
+    return [(F.round(F.col(n) * float(10**digits)) / float(10**digits)).alias(n) for n in names]
 
 
 @query
