@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from kithlink.llm.common import materialise, text_of
 from kithlink.llm.components import components
 from kithlink.llm.exact_dedup import _bitmap, _marked
-from kithlink.llm.simhash import _Forest
+from kithlink.llm.simhash import _Forest, near_groups
 
 SHINGLE, SEED, BANDS, ROWS, TILE = 5, 42, 28, 7, 256
 
@@ -154,3 +154,16 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     j = F.xxhash64(F.lit(7), "root").alias("j")
     labels = rooted.select("key", "root", j).join(least.select("root", "component_id", j), ["root", "j"]).select("key", "component_id")
     return rows.select("doc_id", "key").join(materialise(labels, "shingles-labels"), "key").select("doc_id", "component_id")
+
+
+def near_or_similar_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of every row with a doc_id: linked by near fingerprints (`simhash.near_groups`) or by shared shingles.
+
+    The links of both are one graph, so a chain of either kind is one group. Rows that share a doc_id are one document of it."""
+    docs = docs.where("doc_id is not null")
+    near = materialise(near_groups(docs).select("doc_id", "component_id"), "near-groups")
+    both = near.unionByName(materialise(similar_groups(docs), "similar-groups")).select("doc_id", "component_id")
+    stars = components(both.distinct())
+    j = F.xxhash64(F.lit(7), "doc_id").alias("j")
+    met = near.select("doc_id", j).join(stars.select(F.col("u").alias("doc_id"), "v", F.xxhash64(F.lit(7), "u").alias("j")), ["doc_id", "j"], "left")
+    return met.select("doc_id", F.coalesce("v", "doc_id").alias("component_id"))

@@ -64,3 +64,17 @@ def test_pipeline(spark):
     assert set(pieces.doc_id) == ids
     again = corpus_pipeline.run(spark, at).toPandas()  # cuts depend on the order in which tasks read the queues
     assert set(again.doc_id) == ids and again.length.sum() == pieces.length.sum()
+
+
+def test_near_copies_by_fingerprint_or_by_shingles(spark):
+    """A pair that fingerprints alone link, a chain through it by shingles, and a text that neither links."""
+    from kithlink.llm import shingle_groups, simhash
+
+    said = "one two three four five " * 60
+    ends = [" ".join(f"{c}{i}" for i in range(12)) for c in "xy"]
+    plain = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, said + ends[0]), (2, said + ends[1]), (3, said + ends[1] + " z"), (4, plain), (5, plain + " more"), (6, "a text by itself"), (None, plain)]
+    assert not shingle_groups.similar(*(shingle_groups.shingles(rows[i][1]) for i in (0, 1)))
+    assert (simhash.fingerprint(rows[0][1]) ^ simhash.fingerprint(rows[1][1])).bit_count() <= simhash.MAX_BITS
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((r["doc_id"] or 0) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == [0, 1, 4, 6]
