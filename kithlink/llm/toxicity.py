@@ -205,22 +205,35 @@ def monotone(x: np.ndarray, y: np.ndarray, weigh: np.ndarray) -> tuple[np.ndarra
     return np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + 0.5 * mean) / (p[2] + 0.5) for p in pools])
 
 
+def held(counts) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, ascending, and their counts; counts: a dict, or two arrays, which take a tenth of its memory."""
+    keys, n = (list(counts), list(counts.values())) if isinstance(counts, dict) else counts
+    keys, n = np.asarray(keys, dtype=np.int64), np.asarray(n, dtype=np.int32)
+    by = np.argsort(keys)
+    return keys[by], n[by]
+
+
+def _ordered(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Compares as the list of (key, count) does; keys aren't negative."""
+    return np.stack([keys, counts], axis=1).astype(">i8").tobytes()
+
+
 class Scorer:
     """marks: the marks' names to ids, words: the words' hashes to the ids after these.
 
     Pickled, it is the examples' counts alone, some 6 bytes for each of their words; the index is built where it is used."""
 
     def __init__(self, examples: list[tuple], marks: dict[str, int], k: int = NEIGHBOURS, extra: float = EXTRA):
-        """examples: (name, label, how many it stands for, counts by mark, counts by word hash)."""
+        """examples: (name, label, how many it stands for, counts by mark, counts by word hash), counts as `held` gives them."""
         words: dict[int, int] = {}
-        for e in examples:
-            for h in sorted(e[4]):
-                words.setdefault(h, len(marks) + len(words))
         ids, counts = [], []
         for e in examples:
-            held = sorted(e[3].items()) + sorted((words[h], c) for h, c in e[4].items())
-            ids.append(np.array([x for x, _ in held], dtype=np.int32))
-            counts.append(np.array([c for _, c in held], dtype=np.int32))
+            (marked, n), (hashes, m) = held(e[3]), held(e[4])
+            places = [words.setdefault(h, len(marks) + len(words)) for h in hashes.tolist()]
+            known = np.array(places, dtype=np.int32)
+            by = np.argsort(known)
+            ids.append(np.concatenate([marked.astype(np.int32), known[by]]))
+            counts.append(np.concatenate([n, m[by]]).astype(np.int32))
         self.__setstate__({
             "k": k, "extra": extra, "marks": marks, "hashes": np.fromiter(words, np.int64, len(words)),
             "lens": np.array([len(x) for x in ids], dtype=np.int32), "ids": np.concatenate(ids or [np.zeros(0, np.int32)]), "counts": np.concatenate(counts or [np.zeros(0, np.int32)]),
@@ -354,12 +367,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, indexed: int = INDEXED):
             yield out()
 
     n_bad, n_good = (int(x or 0) for x in rows.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
-    held = rows.select("text", "toxic").mapInArrow(count, "term string, bad long, good long")
-    held = held.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(f"bad + good >= {TRIED}")
-    held = materialise(held, "toxicity-terms")
+    terms = rows.select("text", "toxic").mapInArrow(count, "term string, bad long, good long")
+    terms = terms.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(f"bad + good >= {TRIED}")
+    terms = materialise(terms, "toxicity-terms")
     # The bar rises with the number of terms tried.
-    bar, rate = 2 * math.log(max(held.count(), 2)) + 4, max(n_bad, 1) / max(1, n_bad + n_good)
-    marked = held.where(F.col("bad") / (F.col("bad") + F.col("good")) > min(0.5, 2 * rate)).where(_llr(max(n_bad, 1), max(n_good, 1)) >= bar)
+    bar, rate = 2 * math.log(max(terms.count(), 2)) + 4, max(n_bad, 1) / max(1, n_bad + n_good)
+    marked = terms.where(F.col("bad") / (F.col("bad") + F.col("good")) > min(0.5, 2 * rate)).where(_llr(max(n_bad, 1), max(n_good, 1)) >= bar)
     marks = {t: i for i, t in enumerate(sorted(r["term"] for r in marked.select("term").collect()))}  # each needs several of SAMPLE rows
 
     take_bad = min(1.0, indexed / 2 / max(n_bad, 1))
@@ -385,12 +398,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, indexed: int = INDEXED):
     got = examples.toArrow()  # about INDEXED rows
     stands = {1: 1 / take_bad, 0: 1 / take_good if take_good else 1.0}
     found = []
-    for r in (got.slice(i, 1).to_pydict() for i in range(got.num_rows)):
-        words = dict(zip(r["words"][0], r["counts"][0]))
-        if words:
-            found.append((r["doc_id"][0], r["toxic"][0], stands[r["toxic"][0]], dict(zip(r["marks"][0], r["marked"][0])), words))
-    found.sort(key=lambda e: (sorted(e[3].items()), sorted(e[4].items()), e[1], e[0]))  # ties are broken by what the texts hold
+    for i in range(got.num_rows):
+        name, toxic, *parts = (got.column(k)[i] for k in range(6))
+        marked, words = (held([x.values.to_numpy() for x in parts[k : k + 2]]) for k in (0, 2))
+        if len(words[0]):
+            found.append((name.as_py(), toxic.as_py(), stands[toxic.as_py()], marked, words))
+    found.sort(key=lambda e: (_ordered(*e[3]), _ordered(*e[4]), e[1], e[0]))  # ties are broken by what the texts hold
     scorer = Scorer(found, marks)
+    del got, found
     shared = spark.sparkContext.broadcast(scorer)
 
     def votes(batches):

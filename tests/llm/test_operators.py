@@ -788,3 +788,14 @@ def test_wrapper_of_many_classes_is_bounded():
     w = inferred(f"<body><div class='{''.join(random.Random(n).choices('abcdefgh', k=12))}'><p>t {n}</p></div></body>" for n in range(900))
     body = next(r for r in w.regions.values() if r.pages == 900 and any("div" in json.dumps(g) for g in r.gaps))
     assert len(body.to_json()) < 20_000
+
+
+def test_scorer_from_arrays_or_dicts():
+    """The driver holds the examples' counts as arrays; the scorer and the order of examples are those of dicts."""
+    examples = [(1, 1, 1.0, {0: 2}, {7: 1, 3: 2}), (2, 0, 2.0, {}, {3: 1, 9: 4}), (3, 0, 2.0, {1: 1, 0: 1}, {9: 1, 2: 2})]
+    a, b = toxicity.Scorer(examples, {"x": 0, "y": 1}), toxicity.Scorer([(*e[:3], toxicity.held(e[3]), toxicity.held(e[4])) for e in examples], {"x": 0, "y": 1})
+    assert a.words == b.words and all(np.array_equal(a.state[k], b.state[k]) for k in a.state if k != "marks")
+    assert a.words == {3: 2, 7: 3, 9: 4, 2: 5} and a.state["counts"].tolist() == [2, 2, 1, 1, 4, 1, 1, 1, 2]
+    counts = [{}, {0: 3}, {0: 3, 1: 1}, {0: 3, 256: 1}, {1: 1}, {0: 300}]
+    by_bytes = sorted(counts, key=lambda c: toxicity._ordered(*toxicity.held(c)))
+    assert by_bytes == sorted(counts, key=lambda c: sorted(c.items()))
