@@ -32,9 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithlink.llm.common import materialise, text_of
+from kithlink.llm.common import give_back, materialise, text_of
 
 SAMPLE, INDEXED, NEIGHBOURS, BLOCK, BEGINNINGS, EXTRA = 20_000, 4000, 15, 64, (3, 4, 5, 6), 2.0
+#: Rows that `keep_clean` gives out at a time.
+GIVEN = 1024
 #: Terms of more than one in so many examples have dense rows.
 DENSE = 8
 #: Examples that a term needs to be tried as a mark: with fewer, none can be told from chance.
@@ -111,14 +113,14 @@ class Index:
 
     def __init__(self, vectors, labels, names, n_terms: int, block: int = BLOCK, weigh=None):
         lead = [int(v[0][np.argmax(v[1])]) if len(v[0]) else -1 for v in vectors]
-        order = sorted(range(len(vectors)), key=lambda i: (lead[i], i))  # alike examples share blocks
+        self.order = order = sorted(range(len(vectors)), key=lambda i: (lead[i], i))  # alike examples share blocks
         self.vectors = [vectors[i] for i in order]
         self.labels = np.array([labels[i] for i in order], dtype=float)
         self.weigh = np.array([weigh[i] if weigh is not None else 1.0 for i in order], dtype=float)
         self.names = [names[i] for i in order]
         self.block, self.n = block, len(order)
         self.blocks = max(1, -(-self.n // block))
-        terms = np.concatenate([v[0] for v in self.vectors] or [np.zeros(0, int)]).astype(np.int64)
+        terms = np.concatenate([v[0] for v in self.vectors] or [np.zeros(0, int)]).astype(np.int32)
         docs = np.repeat(np.arange(self.n, dtype=np.int32), [len(v[0]) for v in self.vectors])
         weights = np.concatenate([v[1] for v in self.vectors] or [np.zeros(0)]).astype(float)
         # Terms of very many examples have a row with a place for each: as exact as postings, and read without places.
@@ -130,10 +132,11 @@ class Index:
         there = self.row[terms] >= 0
         self.dense[self.row[terms[there]], docs[there]] = weights[there]
         terms, docs, weights = terms[~there], docs[~there], weights[~there]
-        by = np.lexsort((docs, terms))
-        self.docs, self.weights, terms = docs[by].astype(np.int64), weights[by], terms[by]
+        by = np.argsort(terms, kind="stable")  # docs ascend already
+        self.docs, self.weights, terms = docs[by], weights[by], terms[by]
+        del by, docs, weights, there
         # Runs of one term in one block: where they begin in the postings, and the largest weight in them.
-        run = terms * self.blocks + self.docs // block
+        run = terms.astype(np.int64) * self.blocks + self.docs // block
         first = np.flatnonzero(np.r_[len(run) > 0, run[1:] != run[:-1]]) if len(run) else np.zeros(0, np.int64)
         self.run_at = np.append(first, len(run)).astype(np.int64)
         self.run_block = (run[first] % self.blocks).astype(np.int32)
@@ -221,7 +224,8 @@ def _ordered(keys: np.ndarray, counts: np.ndarray) -> bytes:
 class Scorer:
     """marks: the marks' names to ids, words: the words' hashes to the ids after these.
 
-    Pickled, it is the examples' counts alone, some 6 bytes for each of their words; the index is built where it is used."""
+    Pickled, it is the examples' counts alone, some 6 bytes for each of their words; the index is built where it is used. Every
+    Python worker holds one, so words are looked up in sorted arrays, and examples' vectors are made again when asked for."""
 
     def __init__(self, examples: list[tuple], marks: dict[str, int], k: int = NEIGHBOURS, extra: float = EXTRA):
         """examples: (name, label, how many it stands for, counts by mark, counts by word hash), counts as `held` gives them."""
@@ -245,15 +249,32 @@ class Scorer:
 
     def __setstate__(self, state: dict) -> None:
         self.state, self.k, self.extra, self.marks = state, state["k"], state["extra"], state["marks"]
-        self.words = dict(zip(state["hashes"].tolist(), range(len(self.marks), len(self.marks) + len(state["hashes"]))))
-        n, terms = len(state["names"]), len(self.marks) + len(self.words)
+        by = np.argsort(state["hashes"])
+        self.hashes, self.places = state["hashes"][by], (len(self.marks) + by).astype(np.int32)
+        n, terms = len(state["names"]), len(self.marks) + len(self.hashes)
         self.idf = np.log((1 + n) / (1 + np.bincount(state["ids"], minlength=terms))) + 1
-        ends = np.cumsum(state["lens"])
-        spans = [slice(e - m, e) for e, m in zip(ends.tolist(), state["lens"].tolist())]
-        vectors = [self._unit(state["ids"][x].astype(np.int64), state["counts"][x]) for x in spans]
+        self.ends = np.cumsum(state["lens"], dtype=np.int64)
         weigh = np.array(state["weigh"], dtype=float)
         self.prior = float((np.array(state["labels"]) * weigh).sum() / weigh.sum()) if n else 0.0
-        self.index = Index(vectors, state["labels"], state["names"], terms, weigh=weigh)
+        self.index = Index([self._example(i) for i in range(n)], state["labels"], state["names"], terms, weigh=weigh)
+        del self.index.vectors
+        give_back()
+
+    @property
+    def words(self) -> dict[int, int]:
+        return dict(zip(self.hashes.tolist(), self.places.tolist()))
+
+    def places_of(self, hashed: list[int | None]) -> list[int]:
+        """The ids of words by their hashes, -1 if no example has them."""
+        if not len(self.hashes):
+            return [-1] * len(hashed)
+        h = np.array([-1 if x is None else x for x in hashed], dtype=np.int64)  # hashes aren't negative
+        at = np.minimum(self.hashes.searchsorted(h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.places[at], -1).tolist()
+
+    def _example(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        x = slice(self.ends[i] - self.state["lens"][i], self.ends[i])
+        return self._unit(self.state["ids"][x], self.state["counts"][x])
 
     def calibration(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where votes lie and the scores there. raw: the vote for each example of the index by the others."""
@@ -285,16 +306,16 @@ class Scorer:
         return float(((w * self.index.labels[d]).sum() + self.prior) / (w.sum() + 1)), [self.index.names[i] for i in d[:3].tolist()]
 
     def vote_without(self, i: int) -> float:
-        return self.vote(*self.index.vectors[i], without=i)[0]
+        return self.vote(*self._example(self.index.order[i]), without=i)[0]
 
 
 NOTHING = (-1, ())  # what a word stands for that is in no example and no mark
 
 
 class Reader:
-    """Scores texts; what a word stands for and what a text has come to are remembered, up to a bound."""
+    """Scores texts; what a word stands for and what a text has come to are remembered, up to a bound, or for one text's words."""
 
-    def __init__(self, model: tuple[Scorer, np.ndarray, np.ndarray], remembered: int = 400_000):
+    def __init__(self, model: tuple[Scorer, np.ndarray, np.ndarray], remembered: int = 100_000):
         self.scorer, self.at, self.values = model
         self.remembered, self.marks = remembered, Terms(self.scorer.marks, 0)
         self.of: dict[str, tuple[int, tuple[str, ...]]] = {}
@@ -302,13 +323,16 @@ class Reader:
 
     def counts(self, text: str) -> tuple[dict[int, int], dict[int, int]]:
         words, of, out, marked = Counter(text.lower().split()), self.of, {}, {}
+        new = [w for w in words if w not in of]
+        if len(of) + len(new) > self.remembered:
+            of.clear()
+            new = list(words)
+        if new:
+            for w, i in zip(new, self.scorer.places_of([word_hash(w) for w in new])):
+                marks = self.marks.of(w)
+                of[w] = (i, marks) if i >= 0 or marks else NOTHING
         for w, n in words.items():
-            x = of.get(w)
-            if x is None:
-                if len(of) >= self.remembered:
-                    of.clear()
-                x = self.scorer.words.get(word_hash(w), -1), self.marks.of(w)
-                of[w] = x = x if x != NOTHING else NOTHING
+            x = of[w]
             if x is not NOTHING:
                 i, marks = x
                 if i >= 0:
@@ -448,6 +472,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         reader = Reader((shared.value, at, values))
         for b in batches:
-            yield b.filter(pa.array([reader.score(t.as_py() or "")[0] < 0.5 for t in b.column(text)], pa.bool_()))
+            for first in range(0, b.num_rows, GIVEN):  # no second copy of a whole batch
+                part = b.slice(first, GIVEN)
+                yield part.filter(pa.array([reader.score(t.as_py() or "")[0] < 0.5 for t in part.column(text)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

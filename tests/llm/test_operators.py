@@ -2,9 +2,11 @@
 
 import hashlib
 import json
+import pickle
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -799,3 +801,21 @@ def test_scorer_from_arrays_or_dicts():
     counts = [{}, {0: 3}, {0: 3, 1: 1}, {0: 3, 256: 1}, {1: 1}, {0: 300}]
     by_bytes = sorted(counts, key=lambda c: toxicity._ordered(*toxicity.held(c)))
     assert by_bytes == sorted(counts, key=lambda c: sorted(c.items()))
+
+
+def test_a_workers_scorer_is_small():
+    """Every Python worker holds one: what it keeps and what building it takes, by the examples' counts; and words are found alike."""
+    r = np.random.default_rng(3)
+    examples = [(i, i % 2, 1.0, {}, (np.sort(r.integers(0, 1 << 40, 400)), np.ones(400))) for i in range(250)]
+    packed = pickle.dumps(toxicity.Scorer(examples, {}), 5)
+    tracemalloc.start()
+    scorer = pickle.loads(packed)
+    kept, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept < 110 * 100_000 and most < 200 * 100_000  # bytes a count: 80 and 145, but 205 and 275 with a dict of words and all vectors held
+    hashed = examples[7][4][0].tolist()
+    assert scorer.places_of([*hashed, None, 1 << 50]) == [*(scorer.words[h] for h in hashed), -1, -1]
+    assert toxicity.Scorer([], {}).places_of([5, None]) == [-1, -1]
+    reader, free = (toxicity.Reader((scorer, np.zeros(1), np.zeros(1)), n) for n in (3, 400_000))  # bounds change no counts
+    texts = ["a b c d e a", "", "b f", "c a g h !", "a b c d e a"]
+    assert [reader.counts(t) for t in texts] == [free.counts(t) for t in texts] and len(reader.of) <= 5
