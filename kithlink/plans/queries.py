@@ -15,7 +15,6 @@ from kithlink.operators import blocking as B
 from kithlink.operators import evaluation as E
 from kithlink.operators import features as X
 from kithlink.operators import model as M
-from kithlink.operators import postings as P
 from kithlink.operators import sampling as A
 from kithlink.operators.normalise import normalise
 from kithlink.plans.oracles import ORACLES  # noqa: F401
@@ -93,9 +92,7 @@ def block_token(spark, sf_dir):
 
 @query
 def idf_vocab(spark, sf_dir):
-    b = _blocks(spark, sf_dir)
-    post = P.postings(b, B.word_ngrams(F.col("name_norm"), *FIXTURE.ngrams))
-    return P.vocabulary(post, B.sizes(b), FIXTURE.min_df, FIXTURE.max_df, FIXTURE.max_features)
+    return B.ngram_vocabulary(_blocks(spark, sf_dir), "name_norm", FIXTURE)
 
 
 @query

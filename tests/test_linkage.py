@@ -288,3 +288,31 @@ def test_stream(spark, tmp_path):
     s = spark.readStream.schema(ent.select(*raw).schema).parquet(str(tmp_path / "in"))
     link_stream(s, n.where("src = 2"), n.where("src = 3"), str(tmp_path / "out"), str(tmp_path / "cp"), FIXTURE).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+
+
+def test_ngram_vectors_without_a_row_for_each_term(spark):
+    """Vectors made text by text in many parts are those of the column functions' n-grams, and nothing but texts and sums is dealt out."""
+    import math
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from kithlink.functions.text import word_ngrams
+    from kithlink.operators import grams
+
+    texts = ["ab", "a", "", None, "straße 𝒜𝒷 x", "  two  blanks\tand a tab ", "münchen ab ab", "  hard blank", "ab münchen", "a b"] * 3
+    d = spark.createDataFrame([("uv"[i % 2], "qc"[i % 3 == 0], f"E{i}", t) for i, t in enumerate(texts)], "block_key string, side string, entity_id string, t string").repartition(3)
+    sizes = d.groupBy("block_key").agg(F.count("*").alias("n"))
+    rows = [(r["block_key"], r["entity_id"], Counter(r["g"] or [])) for r in d.select("block_key", "entity_id", word_ngrams(F.col("t"), 3, 5).alias("g")).collect()]
+    df, total = Counter((b, t) for b, _, c in rows for t in c), sum((Counter({(b, t): n for t, n in c.items()}) for b, _, c in rows), Counter())
+    summed = grams.counts(d, "t", 3, 5)
+    assert {(r["block_key"], r["term"]): (r["df"], r["total"]) for r in summed.collect()} == {k: (df[k], total[k]) for k in df}
+    assert "Generate" not in summed._jdf.queryExecution().optimizedPlan().toString()
+    kept = {k for k in df if df[k] > 3}
+    v = grams.vectors(d, "t", summed.where("df > 3").join(sizes, "block_key"), sizes, 3, 5, part=4)
+    got = {(r["block_key"], r["entity_id"]): (r["terms"], r["weights"]) for r in v.collect()}
+    n, want = {r["block_key"]: r["n"] for r in sizes.collect()}, {}
+    for b, e, c in rows:
+        if w := {t: (1 + math.log(k)) * (math.log((1 + n[b]) / (1 + df[b, t])) + 1) for t, k in sorted(c.items()) if (b, t) in kept}:
+            want[b, e] = list(w), [x / math.sqrt(sum(y * y for y in w.values())) for x in w.values()]
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and np.allclose(got[k][1], want[k][1]) for k in want) and len(got) > 10
