@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -10,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from kithlink.config import FEATURE_COLS, Config
 from kithlink.operators import evaluation as E
@@ -54,11 +56,16 @@ def train_matcher(features: DataFrame, truth: DataFrame, cfg: Config) -> tuple[M
     """The matcher, and out-of-fold calibrated scores (PAIR, fold, is_match, raw, score)."""
     rows = assemble(E.weighted(E.labelled(features, truth), cfg)).withColumn("fold", E.fold(cfg))
     rows = stage(rows.select(*PAIR, "features", "is_match", "weight", "fold"), "training").persist()
-    models, oof = [], None
-    for i in range(cfg.n_folds):
+
+    def fit(i: int) -> GBTClassificationModel:
         gbt = GBTClassifier(labelCol="is_match", weightCol="weight", maxIter=cfg.trees, stepSize=cfg.learning_rate, maxDepth=cfg.max_depth, minInstancesPerNode=cfg.min_child, seed=cfg.seed, checkpointInterval=10)
-        m = gbt.fit(rows.where(F.col("fold") != i))
-        models.append(m)
+        return gbt.fit(rows.where(F.col("fold") != i))
+
+    # A fold's trees come one after another, each by short jobs; folds don't wait for each other.
+    with ThreadPool(max(1, cfg.n_folds)) as pool:
+        models = pool.map(inheritable_thread_target(rows.sparkSession)(fit), range(cfg.n_folds), chunksize=1)
+    oof = None
+    for i, m in enumerate(models):
         part = _probability(m, rows.where(F.col("fold") == i), "raw")
         oof = part if oof is None else oof.unionByName(part)
     oof = stage(oof.select(*PAIR, "fold", "is_match", "raw"), "oof")

@@ -368,3 +368,25 @@ def test_equal_names_have_one_vector(spark, monkeypatch):
     monkeypatch.setattr(grams, "tiles", lambda texts, *a, f=grams.tiles, **k: made.append(texts.count()) or f(texts, *a, **k))
     assert sorted(map(tuple, B.tfidf_pairs(b, "t", "s", cfg).collect())) == want and len(want) > 300
     assert made == [b.select("block_key", "side", "t").where("t is not null").distinct().count()] and made[0] < 120
+
+
+def test_folds_are_trained_at_the_same_time(spark, monkeypatch):
+    import threading
+    from dataclasses import replace
+
+    from pyspark.ml.classification import GBTClassifier
+
+    from kithlink.operators import model
+
+    cfg = replace(FIXTURE, n_folds=3, trees=2, min_child=1)
+    pairs = [(f"D{i}", f"D{i + 500 + j}", *[float((i * j) % 7)] * len(FEATURE_COLS)) for i in range(60) for j in range(2)]
+    f = spark.createDataFrame(pairs, ", ".join(["source1_entity_id string, candidate_entity_id string", *(f"{c} double" for c in FEATURE_COLS)]))
+    met, fit = threading.Barrier(3), GBTClassifier.fit
+
+    def together(self, rows):
+        met.wait(60)
+        return fit(self, rows)
+
+    monkeypatch.setattr(GBTClassifier, "fit", together)
+    matcher, scored = model.train_matcher(f, f.where("name_jw > 2").select("source1_entity_id", "candidate_entity_id"), cfg)
+    assert len(matcher.folds) == 3 and scored.count() == 120
