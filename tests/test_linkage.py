@@ -390,3 +390,29 @@ def test_folds_are_trained_at_the_same_time(spark, monkeypatch):
     monkeypatch.setattr(GBTClassifier, "fit", together)
     matcher, scored = model.train_matcher(f, f.where("name_jw > 2").select("source1_entity_id", "candidate_entity_id"), cfg)
     assert len(matcher.folds) == 3 and scored.count() == 120
+
+
+def test_truth_is_of_the_staged_entities(spark):
+    from kithlink.plans.queries import _truth
+
+    t = _truth(spark, SF)
+    assert t.count() > 0 and not [f for f in t.inputFiles() if "documents.parquet" in f]
+
+
+def test_blocks_are_made_once(spark):
+    from kithlink.operators import blocking as B
+    from kithlink.plans.queries import _sides
+
+    n, s1, _ = _sides(spark, SF)
+    c = B.run_blocking(s1, n.where("src = 2"), n.where("src = 3"), FIXTURE)
+    assert "LeftSemi" not in c._jdf.queryExecution().optimizedPlan().toString() and c.count() > 0
+
+
+def test_small_parts_are_not_laid_into_one_task(spark):
+    from kithlink.operators import grams
+
+    d = spark.createDataFrame([("x", "qc"[i % 2], f"e{i}", f"some text {i % 7}") for i in range(64)], "block_key string, side string, entity_id string, t string")
+    sizes = d.groupBy("block_key").count().withColumnRenamed("count", "n")
+    known = grams.counts(d, "t", 3, 5).join(sizes, "block_key")
+    v = grams.vectors(d, "t", known, sizes, 3, 5, part=4)
+    assert v.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and v.count() == 64
