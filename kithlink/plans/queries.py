@@ -173,7 +173,8 @@ def features_token_ratio(spark, sf_dir):
 
 @query
 def feature_addr_cosine(spark, sf_dir):
-    return X.addr_cosine(_with_attributes(spark, sf_dir), FIXTURE).select(Q1, CAND, *_r("addr_tfidf_cos"))
+    c, s1, cat = _candidates(spark, sf_dir)
+    return X.addr_cosine(X.with_attributes(c, s1, cat), X.addresses(c, s1, cat), FIXTURE).select(Q1, CAND, *_r("addr_tfidf_cos"))
 
 
 @query

@@ -420,26 +420,32 @@ def test_small_parts_are_not_laid_into_one_task(spark):
 
 def test_coded_vectors_are_the_vectors(spark):
     from kithlink.operators import grams
-    from kithlink.operators.features import weights
 
-    d = spark.createDataFrame([("", "", t) for t in ["12 main road", "12 main rd", "main main main road", "x", "zürich 日本 5"]], "block_key string, side string, entity_id string")
+    texts = ["12 main road", "12 main rd", "main main main road", "x", "zürich 日本 5", "", "main"]
+    d = spark.createDataFrame([("", "", t) for t in texts], "block_key string, side string, entity_id string")
     sizes = d.groupBy("block_key").count().withColumnRenamed("count", "n")
     known = grams.counts(d, "entity_id", 2, 4).where("df > 1").join(sizes, "block_key").select("block_key", "term", "df", "n")
     want = {r["entity_id"]: (r["terms"], r["weights"]) for r in grams.vectors(d, "entity_id", known, sizes, 2, 4, sublinear=False).collect()}
     rows = sorted(known.select("term", "df", "n").collect())
-    terms, idf = [r["term"] for r in rows], np.array([grams.idf(r["df"], r["n"]) for r in rows])
-    got = grams.coded(d, "entity_id", terms, idf, 2, 4).toArrow().combine_chunks()
-    w = weights(got["codes"], got["tfs"], got["norm"], idf).to_pylist()
-    assert {e: ([terms[c] for c in codes], x) for e, codes, x in zip(got["entity_id"].to_pylist(), got["codes"].to_pylist(), w)} == want and 0 < len(want) < 5
+    terms = [r["term"] for r in rows]
+    got = grams.Coded(terms, [grams.idf(r["df"], r["n"]) for r in rows], 2, 4).vectors(texts)
+    for t, codes, w in zip(texts, *(x.to_pylist() for x in got)):
+        terms_of, weights_of = want.get(t, ([], []))
+        assert [terms[c] for c in codes] == terms_of and np.allclose(w, weights_of, rtol=1e-14, atol=0)
+    assert 0 < len(want) < len(texts)
+    empty = grams.Coded([], [], 2, 4).vectors(["a", ""])
+    assert [x.to_pylist() for x in empty] == [[[], []]] * 2
 
 
-def test_what_pair_features_deals_has_two_texts_of_a_pair(spark):
+def test_pair_features_deals_no_vectors_and_no_tokens(spark):
     from kithlink.operators.features import compute_features
     from kithlink.plans.queries import _candidates
 
     f = compute_features(*_candidates(spark, SF), FIXTURE)
     plan = f._jdf.queryExecution().optimizedPlan().toString()
-    assert "a_addr_norm" in plan and not [c for c in ("name_tokens", "name_suffix", "a_country_norm", "a_terms") if c in plan]
+    assert "MapInArrow" not in plan and plan.count("Join") == 3  # the best of each candidate, and either side's attributes
+    scans = [x for x in f._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in x]
+    assert scans and not [x for x in scans if "name_tokens" in x or "name_acronym" in x]
 
 
 def test_jaro_winkler_takes_the_first_free_place_in_reach():
