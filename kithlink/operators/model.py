@@ -1,19 +1,16 @@
-"""Training, calibration, threshold choice and prediction with Spark ML."""
+"""Training, calibration, threshold choice and prediction."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.util import inheritable_thread_target
 
 from kithlink.config import FEATURE_COLS, Config
+from kithlink.operators import boosting as T
 from kithlink.operators import evaluation as E
 from kithlink.operators.blocking import PAIR
 from kithlink.sources.stage import stage
@@ -21,54 +18,42 @@ from kithlink.sources.stage import stage
 
 @dataclass
 class Matcher:
-    folds: list[GBTClassificationModel]
+    folds: list[T.Trees]
     calibrator: IsotonicRegressionModel
     threshold: float
 
     def save(self, path: str, spark: SparkSession) -> None:
-        for i, m in enumerate(self.folds):
-            m.write().overwrite().save(f"{path}/fold{i}")
+        trees = [(i, t, *(x[t].tolist() for x in (m.feature, m.at, m.gain, m.value))) for i, m in enumerate(self.folds) for t in range(len(m.value))]
+        spark.createDataFrame(trees, "fold int, tree int, feature array<int>, at array<int>, gain array<double>, value array<double>").write.mode("overwrite").parquet(f"{path}/trees")
         self.calibrator.write().overwrite().save(f"{path}/calibrator")
-        spark.createDataFrame([(len(self.folds), round(self.threshold, 6))], "folds int, threshold double").write.mode("overwrite").parquet(f"{path}/settings")
+        settings = len(self.folds), round(self.threshold, 6), self.folds[0].rate, [e.tolist() for e in self.folds[0].bins.edges]
+        spark.createDataFrame([settings], "folds int, threshold double, rate double, edges array<array<double>>").write.mode("overwrite").parquet(f"{path}/settings")
 
     @classmethod
     def load(cls, path: str, spark: SparkSession) -> Matcher:
-        n, threshold = spark.read.parquet(f"{path}/settings").first()
+        n, threshold, rate, edges = spark.read.parquet(f"{path}/settings").first()
         if not n:
             raise ValueError(f"no fold models in {path}")
-        return cls([GBTClassificationModel.load(f"{path}/fold{i}") for i in range(n)], IsotonicRegressionModel.load(f"{path}/calibrator"), threshold)
+        bins, rows = T.Bins([np.array(e) for e in edges]), sorted(spark.read.parquet(f"{path}/trees").collect(), key=lambda r: (r["fold"], r["tree"]))
+        part = lambda i, c: np.array([r[c] for r in rows if r["fold"] == i])
+        return cls([T.Trees(bins, *(part(i, c) for c in ("feature", "at", "gain", "value")), rate) for i in range(n)], IsotonicRegressionModel.load(f"{path}/calibrator"), threshold)
 
 
-def assemble(features: DataFrame) -> DataFrame:
-    """features with the vector of FEATURE_COLS, nulls as 0. A missing column is an error."""
+def complete(features: DataFrame) -> DataFrame:
+    """features with nulls as 0. A missing column is an error."""
     missing = [c for c in FEATURE_COLS if c not in features.columns]
     if missing:
         raise ValueError(f"missing feature columns: {missing}")
-    return VectorAssembler(inputCols=FEATURE_COLS, outputCol="features").transform(features.na.fill(0.0, FEATURE_COLS))
-
-
-def _probability(model: GBTClassificationModel, rows: DataFrame, name: str) -> DataFrame:
-    out = model.setPredictionCol("__p").setProbabilityCol("__pr").setRawPredictionCol("__raw").transform(rows)
-    return out.withColumn(name, vector_to_array("__pr")[1]).drop("__p", "__pr", "__raw")
+    return features.na.fill(0.0, FEATURE_COLS)
 
 
 def train_matcher(features: DataFrame, truth: DataFrame, cfg: Config) -> tuple[Matcher, DataFrame]:
     """The matcher, and out-of-fold calibrated scores (PAIR, fold, is_match, raw, score)."""
-    rows = assemble(E.weighted(E.labelled(features, truth), cfg)).withColumn("fold", E.fold(cfg))
-    rows = stage(rows.select(*PAIR, "features", "is_match", "weight", "fold"), "training").persist()
-
-    def fit(i: int) -> GBTClassificationModel:
-        gbt = GBTClassifier(labelCol="is_match", weightCol="weight", maxIter=cfg.trees, stepSize=cfg.learning_rate, maxDepth=cfg.max_depth, minInstancesPerNode=cfg.min_child, seed=cfg.seed, checkpointInterval=10)
-        return gbt.fit(rows.where(F.col("fold") != i))
-
-    # A fold's trees come one after another, each by short jobs; folds don't wait for each other.
-    with ThreadPool(max(1, cfg.n_folds)) as pool:
-        models = pool.map(inheritable_thread_target(rows.sparkSession)(fit), range(cfg.n_folds), chunksize=1)
-    oof = None
-    for i, m in enumerate(models):
-        part = _probability(m, rows.where(F.col("fold") == i), "raw")
-        oof = part if oof is None else oof.unionByName(part)
-    oof = stage(oof.select(*PAIR, "fold", "is_match", "raw"), "oof")
+    rows = E.weighted(E.labelled(complete(features), truth), cfg).withColumn("fold", E.fold(cfg))
+    rows = stage(rows.select(*PAIR, *FEATURE_COLS, "is_match", "weight", "fold"), "training")
+    bins = T.Bins(T.edges_of(rows))
+    models = T.train(T.coded(rows, bins), bins, cfg)
+    oof = stage(T.scored(rows, [*PAIR, "fold", "is_match"], models), "oof")
     calibrator = IsotonicRegression(featuresCol="raw", labelCol="is_match", predictionCol="score").fit(oof)
     scored = calibrator.transform(oof)
     threshold = E.best_threshold(E.threshold_sweep(scored, truth, features.select(PAIR[0]), cfg)).first()["threshold"]
@@ -81,24 +66,18 @@ def fold_accuracy(scored: DataFrame) -> DataFrame:
 
 def feature_importance(matcher: Matcher, top: int = 10) -> list[tuple[str, float]]:
     """Mean over folds, the largest first."""
-    mean = sum(m.featureImportances.toArray() for m in matcher.folds) / len(matcher.folds)
+    mean = sum(m.importances() for m in matcher.folds) / len(matcher.folds)
     return sorted(zip(FEATURE_COLS, mean.tolist()), key=lambda x: (-x[1], x[0]))[:top]
 
 
 def score(features: DataFrame, matcher: Matcher) -> DataFrame:
-    """(PAIR, raw, score): the mean over the folds, calibrated. One pass: each model adds a column."""
+    """(PAIR, raw, score): the mean over the folds, calibrated."""
     if not matcher.folds:
         raise ValueError("the matcher has no models")
-    rows = assemble(features).select(*PAIR, "features")
-    for i, m in enumerate(matcher.folds):
-        rows = _probability(m, rows, f"__p{i}")
-    mean = sum(F.col(f"__p{i}") for i in range(len(matcher.folds))) / len(matcher.folds)
-    rows = rows.select(*PAIR, mean.alias("raw"))
+    rows = T.scored(complete(features), PAIR, matcher.folds)
     return matcher.calibrator.setPredictionCol("score").setFeaturesCol("raw").transform(rows)
 
 
 def predict(features: DataFrame, matcher: Matcher) -> DataFrame:
     """(PAIR, score) of the pairs at or above the threshold."""
     return score(features, matcher).where(F.col("score") >= matcher.threshold).select(*PAIR, "score")
-
-

@@ -467,3 +467,109 @@ def test_jaro_winkler_takes_the_first_free_place_in_reach():
     for _ in range(500):
         a, b = ("".join(rng.choice(list("ab c日"), rng.integers(1, 14))) for _ in "ab")
         assert S.jaro_winkler_of(a, b) == (1.0 if a == b else plain(a, b)), (a, b)
+
+
+def boosted(spark, trees, depth=3, n=1500, folds=3, seed=1, parts=3):
+    """Pairs with features of 24 values, two and one, so that bins are those of Spark ML; weights of three kinds; how they are trained."""
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 24, (n, len(FEATURE_COLS))) / 32
+    x[:, ::3] = x[:, ::3] > 0.7
+    x[:, FEATURE_COLS.index("name_rank")] = 3
+    x[:, FEATURE_COLS.index("name_match_addr_mismatch")] = rng.random(n) < 0.1
+    ids = [(f"D{i // 4}", f"C{i}") for i in range(n)]
+    f = spark.createDataFrame([(*k, *r) for k, r in zip(ids, x.tolist())], ", ".join(["source1_entity_id string, candidate_entity_id string", *(f"{c} double" for c in FEATURE_COLS)])).repartition(parts)
+    truth = f.where(F.col("name_jw") + F.col("addr_lev") * F.col("name_lev") + 0.2 * F.rand(3) > 1.1).select("source1_entity_id", "candidate_entity_id").localCheckpoint()
+    return f, truth, replace(FIXTURE, trees=trees, max_depth=depth, n_folds=folds, learning_rate=0.1, min_child=10)
+
+
+@pytest.mark.parametrize("depth", [3, 5, 6])
+def test_trees_are_those_of_spark_ml(spark, depth):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    from kithlink.operators import model
+
+    f, truth, cfg = boosted(spark, 4, depth)
+    matcher, scored = model.train_matcher(f, truth, cfg)
+    got = {r["candidate_entity_id"]: r["raw"] for r in scored.collect()}
+    rows = E.weighted(E.labelled(f, truth), cfg).withColumn("fold", E.fold(cfg))
+    rows = VectorAssembler(inputCols=FEATURE_COLS, outputCol="features").transform(rows).cache()
+    assert rows.select("weight").distinct().count() == 3
+    want = {}
+    for i in range(cfg.n_folds):
+        gbt = GBTClassifier(labelCol="is_match", weightCol="weight", maxIter=cfg.trees, stepSize=cfg.learning_rate, maxDepth=depth, minInstancesPerNode=cfg.min_child)
+        out = gbt.fit(rows.where(F.col("fold") != i)).transform(rows.where(F.col("fold") == i))
+        want |= {r[0]: r[1] for r in out.select("candidate_entity_id", vector_to_array("probability")[1]).collect()}
+    assert got.keys() == want.keys() and len(set(got.values())) > 10
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-5
+
+
+def test_trees_take_no_jobs_of_their_own(spark):
+    from kithlink.operators import model
+
+    jobs = []
+    for trees in (2, 9):
+        f, truth, cfg = boosted(spark, trees, n=300)
+        spark.sparkContext.setJobGroup(f"trees {trees}", "")
+        try:
+            matcher, _ = model.train_matcher(f, truth, cfg)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"trees {trees}")))
+        assert [len(m.value) for m in matcher.folds] == [trees] * cfg.n_folds
+    assert 0 < jobs[1] < jobs[0] + 7  # a job a tree would be 21 more
+
+
+def test_trees_are_the_same_for_any_tasks(spark, monkeypatch):
+    from kithlink.operators import boosting, model
+
+    f, truth, cfg = boosted(spark, 5)
+    made = []
+    for task, parts in ((10**9, 1), (300, 5)):
+        monkeypatch.setattr(boosting, "TASK", task)
+        matcher, _ = model.train_matcher(f.repartition(parts), truth, cfg)
+        made.append([(m.feature.tolist(), m.at.tolist(), m.value.tolist()) for m in matcher.folds])
+    assert made[0] == made[1]
+
+
+def test_trees_start_anew_with_the_stage():
+    """After a task has gone, the next attempt's tasks get whole models; strangers are turned away."""
+    import socket
+    import struct
+    import threading
+
+    from kithlink.operators import boosting as T
+
+    cfg = Config(trees=3, max_depth=2, n_folds=2, min_child=1)
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 3, (len(FEATURE_COLS), 200)) * 1.0
+    bins = T.Bins([np.array([0.5, 1.5])] * len(FEATURE_COLS))
+    codes, y, fold = bins.codes(x), np.where(x[0] > 1, 1, -1), rng.integers(0, 2, 200)
+    share = lambda s: T.Share(bins, cfg, [1.0], codes[:, s], y[s], np.zeros(100, int), fold[s])
+    listener, done = socket.create_server(("127.0.0.1", 0)), []
+    listener.settimeout(1)
+    lead = threading.Thread(target=T._lead, args=(listener, b"secret", 2, lambda: [T.Grower(bins, cfg, [1.0]) for _ in range(2)], done), daemon=True)
+    lead.start()
+
+    def meet(which, attempt, secret=b"secret"):
+        s = socket.create_connection(listener.getsockname(), 60)
+        s.sendall(struct.pack("<qq", which, attempt) + secret)
+        return s
+
+    meet(0, 1).close()
+    meet(0, 9, b"guess!")
+    for s in [meet(0, 3), meet(1, 3)]:
+        s.close()
+    tasks = [threading.Thread(target=lambda k=k: share(slice(100 * k, 100 * k + 100)).follow(meet(k, 7)), daemon=True) for k in range(2)]
+    for t in tasks:
+        t.start()
+    for t in [*tasks, lead]:
+        t.join(60)
+    listener.close()
+    assert len(done) == 1 and [(m.margins(codes) > 0).tolist() for m in done[0]] == [(y > 0).tolist()] * 2
