@@ -54,7 +54,9 @@ def train_matcher(features: DataFrame, truth: DataFrame, cfg: Config) -> tuple[M
     bins = T.Bins(T.edges_of(rows))
     models = T.train(T.coded(rows, bins), bins, cfg)
     oof = stage(T.scored(rows, [*PAIR, "fold", "is_match"], models), "oof")
-    calibrator = IsotonicRegression(featuresCol="raw", labelCol="is_match", predictionCol="score").fit(oof)
+    # Equal scores are one point, as the regression takes them, so that many don't meet in one task.
+    points = oof.groupBy("raw").agg(F.avg("is_match").alias("is_match"), F.count("*").cast("double").alias("n"))
+    calibrator = IsotonicRegression(featuresCol="raw", labelCol="is_match", weightCol="n", predictionCol="score").fit(points)
     scored = calibrator.transform(oof)
     threshold = E.best_threshold(E.threshold_sweep(scored, truth, features.select(PAIR[0]), cfg)).first()["threshold"]
     return Matcher(models, calibrator, float(threshold)), scored

@@ -573,3 +573,18 @@ def test_trees_start_anew_with_the_stage():
         t.join(60)
     listener.close()
     assert len(done) == 1 and [(m.margins(codes) > 0).tolist() for m in done[0]] == [(y > 0).tolist()] * 2
+
+
+def test_equal_scores_are_calibrated_as_one_point(spark, monkeypatch):
+    from pyspark.ml.regression import IsotonicRegression
+
+    from kithlink.operators import model
+
+    met, fit = [], IsotonicRegression.fit
+    monkeypatch.setattr(IsotonicRegression, "fit", lambda self, rows: met.append(rows.count()) or fit(self, rows))
+    f, truth, cfg = boosted(spark, 2, depth=2)
+    matcher, scored = model.train_matcher(f, truth, cfg)
+    assert met == [scored.select("raw").distinct().count()] and met[0] < 100 < scored.count()
+    want = fit(IsotonicRegression(featuresCol="raw", labelCol="is_match", predictionCol="score"), scored.drop("score"))
+    for a, b in ((matcher.calibrator.boundaries, want.boundaries), (matcher.calibrator.predictions, want.predictions)):
+        assert len(a) == len(b) and np.allclose(a.toArray(), b.toArray(), atol=1e-12)
