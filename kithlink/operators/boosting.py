@@ -312,7 +312,7 @@ class Share:
 
 
 class Grower:
-    """The driver's side of a fold: adds nothing up but chooses the splits, and keeps the trees."""
+    """The driver's side of a fold: chooses the splits by the added sums, and keeps the trees."""
 
     def __init__(self, bins: Bins, cfg: Config, weights: list[float]):
         places = (cfg.trees, (1 << cfg.max_depth) - 1)
@@ -388,12 +388,14 @@ def _lead(listener: socket.socket, secret: bytes, n: int, make, done: list) -> N
                     s, _ = listener.accept()
                 except TimeoutError:
                     continue
-                s.settimeout(WAIT)
+                s.settimeout(60)
                 s.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
                 try:
                     hello = _exactly(s, 16 + len(secret))
                 except OSError:
+                    s.close()
                     continue
+                s.settimeout(WAIT)
                 which, of = struct.unpack_from(HELLO, hello)
                 if not hmac.compare_digest(bytes(hello[16:]), secret) or of < attempt:
                     s.close()
